@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import quality_rules
+from sievelight.llm import chat, mixing, quality_rules
 from sievelight.llm.common import read
 
 
@@ -17,10 +17,14 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _documents(quality_rules.op1_quality_rules),
+        "op5_chat_formatting": lambda spark, sf_dir: chat.op5_chat_formatting(read(spark, sf_dir, "conversations")),
+        "op8_mixing": _documents(mixing.op8_mixing),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.ORACLE,
+        "op5_chat_formatting": chat.ORACLE,
+        "op8_mixing": mixing.ORACLE,
     }
