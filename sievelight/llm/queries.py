@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import chat, mixing, quality_rules
+from sievelight.llm import chat, decontaminate, mixing, quality_rules, secrets
 from sievelight.llm.common import read
 
 
@@ -17,7 +17,11 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _documents(quality_rules.op1_quality_rules),
+        "op3_decontamination": lambda spark, sf_dir: decontaminate.op3_decontamination(
+            read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+        ),
         "op5_chat_formatting": lambda spark, sf_dir: chat.op5_chat_formatting(read(spark, sf_dir, "conversations")),
+        "op6_secret_scans": _documents(secrets.op6_secret_scans),
         "op8_mixing": _documents(mixing.op8_mixing),
     }
 
