@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import chat, decontaminate, mixing, quality_rules, secrets
+from sievelight.llm import chat, decontaminate, licenses, mixing, quality_rules, secrets
 from sievelight.llm.common import read
 
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": lambda spark, sf_dir: decontaminate.op3_decontamination(
             read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
         ),
+        "op4_license_scans": _documents(licenses.op4_license_scans),
         "op5_chat_formatting": lambda spark, sf_dir: chat.op5_chat_formatting(read(spark, sf_dir, "conversations")),
         "op6_secret_scans": _documents(secrets.op6_secret_scans),
         "op8_mixing": _documents(mixing.op8_mixing),
