@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import chat, decontaminate, licenses, mixing, near_dedup, quality_rules, secrets
+from sievelight.llm import chat, decontaminate, licenses, mixing, near_dedup, quality_classifier, quality_rules, secrets
 from sievelight.llm.common import read
 
 
@@ -24,6 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_formatting": lambda spark, sf_dir: chat.op5_chat_formatting(read(spark, sf_dir, "conversations")),
         "op6_secret_scans": _documents(secrets.op6_secret_scans),
         "op8_mixing": _documents(mixing.op8_mixing),
+        "op9_quality_classifier": lambda spark, sf_dir: quality_classifier.op9_quality_classifier(
+            read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+        ),
         "op10_near_dedup": _documents(near_dedup.op10_near_dedup),
     }
 
