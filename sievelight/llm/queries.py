@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import chat, decontaminate, licenses, mixing, near_dedup, quality_classifier, quality_rules, secrets
+from sievelight.llm import chat, decontaminate, licenses, mixing, near_dedup, quality_classifier, quality_rules, secrets, substring_dedup
 from sievelight.llm.common import read
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scans": _documents(licenses.op4_license_scans),
         "op5_chat_formatting": lambda spark, sf_dir: chat.op5_chat_formatting(read(spark, sf_dir, "conversations")),
         "op6_secret_scans": _documents(secrets.op6_secret_scans),
+        "op7_substring_dedup": _documents(substring_dedup.op7_substring_dedup),
         "op8_mixing": _documents(mixing.op8_mixing),
         "op9_quality_classifier": lambda spark, sf_dir: quality_classifier.op9_quality_classifier(
             read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
@@ -35,5 +36,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.ORACLE,
         "op5_chat_formatting": chat.ORACLE,
+        "op7_substring_dedup": substring_dedup.ORACLE,
         "op8_mixing": mixing.ORACLE,
     }
