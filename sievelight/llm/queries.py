@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.llm import chat, decontaminate, licenses, mixing, near_dedup, quality_classifier, quality_rules, secrets, substring_dedup
+from sievelight.llm import chat, decontaminate, licenses, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, secrets, substring_dedup
 from sievelight.llm.common import read
 
 
@@ -17,6 +17,7 @@ def _documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _documents(quality_rules.op1_quality_rules),
+        "op2_lm_scoring": _documents(lm_scoring.op2_lm_scoring),
         "op3_decontamination": lambda spark, sf_dir: decontaminate.op3_decontamination(
             read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
         ),
