@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -199,11 +199,12 @@ def score_quality(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> D
     return base.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def _bucket(modulus: int):
+def fold(modulus: int) -> Column:
+    """Remainder that deals documents to folds, by their id alone."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
 def op9_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = fit_quality(docs, labels.where(_bucket(5) != 0))
+    model = fit_quality(docs, labels.where(fold(5) != 0))
     scored = score_quality(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (_bucket(5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
