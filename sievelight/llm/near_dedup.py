@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS)
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(ids, "root").select(F.col("fp"), F.col("component_id").alias("_linked"))
     table = kinds.join(named, "fp", "left").select("fp", F.coalesce("_linked", "least").alias("component_id"))
-    return prints.join(table, "fp").select("doc_id", "fp", "component_id")
+    # Written first, so that the join stands right on two shuffles and a fingerprint of very many copies can be split.
+    return prints.join(checkpoint(table), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
