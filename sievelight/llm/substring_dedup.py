@@ -17,8 +17,11 @@ from sievelight.llm import blocks as B
 
 WINDOW = 20
 PHRASE = 8
-#: An automaton holds at most so many phrases (of PHRASE nodes each); a block with more gets several, one after another.
-SHARD = 200_000
+#: Characters that stand for a word in the automata.
+LETTERS = 3
+#: An automaton holds at most so many phrases (of LETTERS * PHRASE nodes each, about 80 MB in all); a block with more
+#: phrases gets several automata, one after another.
+SHARD = 100_000
 NO_ID = -(1 << 63)
 #: The part of a phrase's hash that is sent: enough to find candidates.
 SENT = np.uint64(0xFFFFFFFFFFFF0000)
@@ -75,27 +78,37 @@ class _Words:
         twice = np.searchsorted(every, chosen, "right") - np.searchsorted(every, chosen, "left") >= 2
         return g, chosen, twice
 
+    def _letters(self) -> str:
+        """The block's words as a string, LETTERS characters each: the digits of the word's number.
+
+        Each digit has an alphabet of its own, so a match begins where a word does; and nodes of the automata, which
+        look for a child by going through all, have few.
+        """
+        base = int(np.ceil((self.numbers.max(initial=0) + 1) ** (1 / LETTERS))) + 1
+        digits, rest = np.empty((len(self.numbers), LETTERS), np.uint32), self.numbers
+        for d in reversed(range(LETTERS)):
+            digits[:, d] = rest % base + 1 + d * base
+            rest = rest // base
+        return digits.tobytes().decode("utf-32-le")
+
     def located(self, g: np.ndarray, recurring: np.ndarray) -> np.ndarray:
         """Which places begin a window that holds one of the recurring phrases, found by Aho-Corasick automata.
 
-        A word is one character of the text and phrases that the automata see; documents are joined, as windows across
-        their ends are ruled out below.
+        Documents are joined for the automata, as windows across their ends are ruled out below.
         """
         found = np.zeros(len(self.numbers) + 1, np.int64)
         place = np.searchsorted(recurring, g & SENT)
         place[place == len(recurring)] = 0
         hit = np.flatnonzero(recurring[place] == g & SENT) if len(recurring) else np.zeros(0, np.int64)
         first = hit[np.unique(g[hit], return_index=True)[1]]  # one place of each recurring phrase says what it reads
-        letters = (self.numbers + 1).astype(np.uint32)
-        letters[letters >= 0xD800] += 0x800  # no surrogates
-        text = letters.tobytes().decode("utf-32-le")
+        text = self._letters()
         for at in range(0, len(first), SHARD):
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
             for p in first[at : at + SHARD].tolist():
-                automaton.add_word(text[p : p + PHRASE])
+                automaton.add_word(text[LETTERS * p : LETTERS * (p + PHRASE)])
             automaton.make_automaton()
             ends = np.fromiter((e for e, _ in automaton.iter(text)), np.int64)
-            found[ends - (PHRASE - 1)] = 1
+            found[(ends + 1) // LETTERS - PHRASE] = 1
         before = np.concatenate([[0], np.cumsum(found)])
         n = len(self.window_at)
         return self.window_at & (before[WINDOW - PHRASE + 1 :][:n] > before[:n])
