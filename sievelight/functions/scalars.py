@@ -84,7 +84,7 @@ def predicted_class(probs: Column, classes: Sequence[int]) -> Column:
 
 def valid_probabilities(probs: Column, n_classes: int, *, atol: float = 1e-7, rtol: float = 1e-5, slack: float = 1e-12) -> Column:
     """True if there are ``n_classes`` finite entries in [0, 1] that sum to 1."""
-    total = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x)
+    total = array_sum(probs)
     inside = F.forall(probs, lambda p: p.isNotNull() & ~F.isnan(p) & (p >= -slack) & (p <= 1.0 + slack))
     return F.coalesce((F.size(probs) == n_classes) & inside & (F.abs(total - 1.0) <= atol + rtol), F.lit(False))
 
@@ -162,10 +162,19 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1.0 - dot(a, b) / (norm(a) * norm(b))))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also when ``body`` uses it inside lambda functions."""
+    return F.transform(F.array(value), body)[0]
+
+
+def array_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    e = F.transform(values, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    exps = lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+    shares = lambda e: let(array_sum(e), lambda total: F.transform(e, lambda x: x / total))
+    return let(values, lambda v: let(exps(v), shares))
 
 
 def temperature_transform(probs: Column, temperature: float | Column) -> Column:

@@ -18,8 +18,8 @@ def confusion(df: DataFrame, truth: str, predicted: str, *, by: Sequence[str] =
 
 def confusion_grid(counts: DataFrame, classes: Sequence[int]) -> DataFrame:
     """Counts for every pair of classes, 0 where there are none."""
-    c = counts.sparkSession.createDataFrame([(int(x),) for x in classes], "c int")
-    grid = c.select(F.col("c").alias("truth")).crossJoin(c.select(F.col("c").alias("predicted")))
+    each = F.explode(class_list(classes))
+    grid = counts.sparkSession.range(1).select(each.alias("truth")).select("truth", each.alias("predicted"))
     return grid.join(counts, ["truth", "predicted"], "left").select("truth", "predicted", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 

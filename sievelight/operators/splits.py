@@ -236,9 +236,9 @@ def restore_labels(df: DataFrame, reviewed: Column) -> DataFrame:
 
 def study_cells(spark, mechanisms: Sequence[str], rates: Sequence[float], seeds: Sequence[int], representations: Sequence[str], classifiers: Sequence[str]) -> DataFrame:
     """Every scenario (mechanism, rate, seed, besides the clean one) with every representation and classifier."""
-    table = lambda name, kind, xs: spark.createDataFrame([(x,) for x in xs], f"{name} {kind}")
-    scenarios = table("mechanism", "string", mechanisms).crossJoin(table("rate", "double", [float(r) for r in rates])).crossJoin(table("seed", "int", seeds))
-    clean = spark.createDataFrame([("clean", 0.0, 0)], "mechanism string, rate double, seed int")
-    cells = scenarios.unionByName(clean).crossJoin(table("representation", "string", representations)).crossJoin(table("classifier", "string", classifiers))
+    each = lambda xs: F.explode(F.lit(list(xs)))
+    scenarios = spark.range(1).select(each(mechanisms).alias("mechanism")).select("*", each([float(r) for r in rates]).alias("rate")).select("*", each(seeds).alias("seed"))
+    clean = spark.range(1).select(F.lit("clean").alias("mechanism"), F.lit(0.0).alias("rate"), F.lit(0).alias("seed"))
+    cells = scenarios.unionByName(clean).select("*", each(representations).alias("representation")).select("*", each(classifiers).alias("classifier"))
     parts = [F.col("mechanism"), F.format_string("%.4f", "rate"), F.col("seed").cast("string"), F.col("representation"), F.col("classifier")]
     return cells.withColumn("cell_id", F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))
