@@ -16,6 +16,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 #: Features are hashed to this many places; the model is two vectors of this length, whatever the input.
 PLACES = 1 << 18
 CACHE_WORDS = 200_000
+#: Parts of the sample for the calibration: each part's margins come from a model of the others.
+PARTS = 3
 
 _RUNS = re.compile(rb"(?s)(.)\1+")
 _SHAPES = bytes.maketrans(
@@ -142,18 +144,24 @@ def _calibrate(margins: np.ndarray, labels: np.ndarray, rounds: int = 100) -> tu
 
 
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, *, cost: float = 1.0, rounds: int = 12, seed: int = 3) -> Model:
-    """Fit on feature places and labels 0 or 1.  With one class or no rows: a constant score, (ones + 1) / (rows + 2)."""
+    """Fit on feature places and labels 0 or 1.  With one class or no rows: a constant score, (ones + 1) / (rows + 2).
+
+    The curve from margins to scores is fitted on margins of rows that the models in use had not seen, in PARTS parts.
+    """
     if len(set(labels.tolist())) < 2:
         odds = (float((labels == 1).sum()) + 1) / (len(labels) + 2)
         zero = np.zeros(PLACES, np.float32)
         return Model(zero, zero, 0.0, 0.0, float(np.log(odds / (1 - odds))))
-    aside = np.random.default_rng(seed).random(len(rows)) < 0.2
-    aside &= len(rows) >= 50
-    slope, shift = 1.0, 0.0
-    if aside.any() and len(set(labels[~aside].tolist())) == 2:
-        first = _descend([r for r, a in zip(rows, aside) if not a], labels[~aside], cost, rounds, seed)
-        margins = np.array([first.margin(r) for r, a in zip(rows, aside) if a])
-        slope, shift = _calibrate(margins, labels[aside])
+    part = np.random.default_rng(seed).permutation(len(rows)) % PARTS
+    margins = np.zeros(len(rows))
+    told = np.zeros(len(rows), bool)
+    for p in range(PARTS):
+        own = part == p
+        if len(set(labels[~own].tolist())) == 2:
+            first = _descend([r for r, o in zip(rows, own) if not o], labels[~own], cost, rounds, seed)
+            margins[own] = [first.margin(r) for r, o in zip(rows, own) if o]
+            told |= own
+    slope, shift = _calibrate(margins[told], labels[told]) if told.any() else (1.0, 0.0)
     last = _descend(rows, labels, cost, rounds, seed)
     return Model(last.ratios, last.weights, last.bias, slope, shift)
 
