@@ -128,9 +128,9 @@ PIXELS = """px AS (
   FROM (SELECT *, y BETWEEN 2 AND 6 AND x BETWEEN 1 AND 5 AS one, y BETWEEN 6 - patch % 2 AND 9 AND x BETWEEN 4 AND 8 AND (patch % 2 = 1 OR y > 6) AS two
         FROM range(12) a(patch), range(13) b(y), range(11) d(x), range(3) e(c)))"""
 QC = PIXELS + """,
-at AS (SELECT fold, patch_id, y, x, sum((channel < 2 AND value > 0)::int) AS c, max((channel = 2 AND value > 0)::int) AS b FROM px GROUP BY ALL),
+pt AS (SELECT fold, patch_id, y, x, sum((channel < 2 AND value > 0)::int) AS c, max((channel = 2 AND value > 0)::int) AS b FROM px GROUP BY ALL),
 pq AS (SELECT fold::int AS fold, patch_id, count(*) AS n_pixels, sum((c = 0 AND b = 1)::int)::bigint AS background_pixels, sum((c = 1)::int)::bigint AS class_pixels,
-  sum((c > 1)::int)::bigint AS overlap_pixels, sum((c = 0 AND b = 0)::int)::bigint AS void_pixels, sum((c > 0 AND b = 1)::int)::bigint AS conflict_pixels FROM at GROUP BY ALL)"""
+  sum((c > 1)::int)::bigint AS overlap_pixels, sum((c = 0 AND b = 0)::int)::bigint AS void_pixels, sum((c > 0 AND b = 1)::int)::bigint AS conflict_pixels FROM pt GROUP BY ALL)"""
 
 VOTES = f"""rv AS (
   SELECT sample_id, observed_label, r::int AS reviewer_id, {u("vote", "sample_id", "r")} AS q FROM samples, range(3) t(r)),
@@ -247,7 +247,7 @@ SELECT round(sum(n * abs(a - c)) / sum(n), 6) AS ece FROM b""",
     "noise_matrix_derivation": f"WITH {CONF}, w AS (SELECT truth, predicted, CASE WHEN truth = predicted THEN 0.0 ELSE n + 1.0 END AS w FROM conf) SELECT truth, predicted, round(w / sum(w) OVER (PARTITION BY truth), 6) AS probability FROM w",
     "stratum_weights": f"WITH {RISKS}, r AS (SELECT tissue, fold_id, count(*) AS n, sum((observed_label <> predicted)::int)::bigint AS errors FROM risks GROUP BY ALL), q AS (SELECT *, (errors + 1) / (n + 2) AS rate FROM r) SELECT tissue, fold_id, n, errors, round(rate, 6) AS rate, round(q.rate / max(q.rate) OVER (), 6) AS weight FROM q",
     "label_issues": f"""WITH {RISKS}, lim AS (SELECT list(t ORDER BY c) AS t FROM (SELECT observed_label AS c, avg(p[observed_label + 1]) AS t FROM risks GROUP BY 1)),
-o AS (SELECT observed_label, list_transform(p, lambda x, i: CASE WHEN x >= t[i] THEN x END) AS o FROM risks, lim), b AS (SELECT observed_label, list_position(o, list_max(o)) - 1 AS best FROM o)
+o AS (SELECT observed_label, list_transform(p, lambda x, i: CASE WHEN x >= t[i] THEN x END) AS o FROM risks, lim), b AS (SELECT observed_label, CASE WHEN list_max(o) IS NOT NULL THEN list_position(o, list_max(o)) - 1 END AS best FROM o)
 SELECT observed_label, sum(coalesce(best <> observed_label, false)::int)::bigint AS n_issues, count(best) AS n_confident FROM b GROUP BY 1""",
     "transition_counts": f"WITH {RISKS} SELECT observed_label || '->' || predicted AS transition, count(*) AS n FROM risks WHERE predicted <> observed_label GROUP BY 1",
     "group_split_hash": f"WITH {SAMPLES}, g AS (SELECT group_id, min(tissue) AS stratum FROM samples GROUP BY 1) SELECT group_id, stratum, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY sha256('split-2027|' || group_id), group_id) <= 3 THEN 'final' ELSE 'development' END AS part FROM g",
