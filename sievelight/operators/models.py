@@ -91,14 +91,15 @@ def oof_logistic(df: DataFrame, label: str, classes: Sequence[int], *, l2: float
     return out_of_fold(df, lambda train: logistic(train, label, classes, l2=l2))
 
 
-GRID = tuple(float(x) for x in np.exp(np.linspace(np.log(0.25), np.log(8.0), 33)))
+GRID = tuple(float(x) for x in np.exp(np.linspace(np.log(0.05), np.log(20.0), 41)))
 
 
 def best_temperature(df: DataFrame, probs: str, truth: str, classes: Sequence[int], grid: Sequence[float] = GRID) -> float:
     """The temperature of the grid with the least mean negative log-likelihood, found in one aggregation."""
-    p, y = F.col(probs), F.col(truth)
-    losses = df.agg(*[F.avg(negative_log_likelihood(temperature_transform(p, t), y, classes, 1e-15)) for t in grid]).first()
-    return grid[int(np.argmin(losses))]
+    tried = df.select(F.col(probs).alias("p"), F.col(truth).alias("y"), F.explode(F.lit([float(t) for t in grid])).alias("t"))
+    loss = negative_log_likelihood(temperature_transform(F.col("p"), F.col("t")), F.col("y"), classes, 1e-15)
+    rows = tried.groupBy("t").agg(F.avg(loss).alias("loss")).collect()  # a row for each temperature
+    return min(rows, key=lambda r: (r["loss"], r["t"]))["t"]
 
 
 def calibrate_cross_fitted(df: DataFrame, probs: str, truth: str, classes: Sequence[int], *, fold: str = "fold_id") -> tuple[DataFrame, dict]:
