@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelight.functions import scalars as fn
-from sievelight.operators import bootstrap, duplicates, metrics, models, neighbours, qc, queues, ranking, review, splits
+from sievelight.operators import bootstrap, duplicates, images, metrics, models, neighbours, qc, queues, ranking, review, splits, studies
 from sievelight.plans import oracle
 from sievelight.sources import sinks
 from sievelight.sources import tables as src
@@ -606,9 +606,10 @@ def constant_in_group(spark, d):
 
 @query
 def reconcile_diff(spark, d):
-    saved = ranking.average_precision(src.ties(spark, d), F.col("event"), "score", by=["grp"]).select("grp", "average_precision")
-    other = saved.withColumn("average_precision", F.when(F.col("grp") % 7 == 0, F.col("average_precision") + 0.5).otherwise(F.col("average_precision"))).where("grp % 11 <> 0")
-    return qc.reconcile(saved, other, ["grp"], ["average_precision"])
+    """Saved figures beside figures recomputed from scores with fewer digits: the suppliers that differ."""
+    t = src.ties(spark, d)
+    figures = lambda score: ranking.average_precision(t.withColumn("s", score), F.col("event"), "s", by=["grp"]).select("grp", "average_precision")
+    return qc.reconcile(figures(F.col("score")), figures(F.round("score", 1)), ["grp"], ["average_precision"], tolerance=0.005)
 
 
 @query
@@ -632,10 +633,11 @@ def label_normalise(spark, d):
 
 @query
 def set_diff_inventory(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    before = docs.where("doc_id % 7 <> 0")
-    after = docs.where("doc_id % 5 <> 0").withColumn("sha256", F.when(F.col("doc_id") % 11 == 0, F.lit("x")).otherwise(F.col("sha256")))
-    return qc.set_differences(before, after)
+    """Orders by status beside their lines by status: two inventories that share most paths."""
+    path = lambda c: F.concat(F.lit("f"), F.col(c).cast("string")).alias("path")
+    before = spark.read.parquet(f"{d}/orders.parquet").select(path("o_orderkey"), F.sha2(F.col("o_orderstatus").cast("binary"), 256).alias("sha256"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.min("l_linestatus").alias("s"))
+    return qc.set_differences(before, lines.select(path("l_orderkey"), F.sha2(F.col("s").cast("binary"), 256).alias("sha256")))
 
 
 @query
@@ -689,6 +691,122 @@ def temperature_scaled(spark, d):
     return s.select("sample_id", F.array_max(fn.temperature_transform(F.col("probs"), 0.5)).alias("top"))
 
 
+# Images
+
+
+def _centres(spark):
+    c = src.crop_boxes(spark)
+    return c.select("sample_id", F.col("sample_id").alias("image_id"), F.col("ymin").alias("centre_y"), F.col("xmin").alias("centre_x"), F.lit(12).alias("height"), F.lit(12).alias("width"))
+
+
+@query
+def crop_edge(spark, d):
+    return images.fixed_crop(src.crops(spark).drop("sample_id"), _centres(spark), 8).select("sample_id", "y", "x", "red", "green", "blue")
+
+
+@query
+def crop_reflect(spark, d):
+    return images.fixed_crop(src.crops(spark).drop("sample_id"), _centres(spark), 8, padding="reflect").select("sample_id", "y", "x", "red", "green", "blue")
+
+
+@query
+def crop_target_box(spark, d):
+    return images.target_box(src.crops(spark), padding=2)
+
+
+@query
+def highlight(spark, d):
+    return images.highlight(src.crops(spark)).select("sample_id", "y", "x", "red", "green", "blue")
+
+
+@query
+def colour_histogram(spark, d):
+    return images.colour_histogram(src.crops(spark))
+
+
+@query
+def colour_statistics(spark, d):
+    return qc.colour_statistics(src.crops(spark).where("target"), ["sample_id"])
+
+
+@query
+def intensity_features(spark, d):
+    return images.intensity_features(src.crops(spark))
+
+
+@query
+def texture_features(spark, d):
+    return images.texture(src.crops(spark))
+
+
+@query
+def crop_statistics(spark, d):
+    return images.crop_statistics(src.crops(spark), src.crop_boxes(spark), 12)
+
+
+# Studies
+
+
+def _cells(spark, d):
+    """A cell for each source: average precision, events, and draws of its rows' halves."""
+    e = src.events(spark, d).withColumn("half", F.floor(fn.unit_hash("half", "doc_id") * 4).cast("int"))
+    c = ranking.average_precision(e, F.col("event"), "score", by=["grp"])
+    cells = c.select(F.col("grp").alias("cell_id"), (F.substring("grp", 4, 2).cast("int") % 6 == 5).alias("circularity_risk"), "n_events", F.col("average_precision").alias("metric"))
+    draws = ranking.average_precision(e, F.col("event"), "score", by=["grp", "half"]).select(F.col("grp").alias("cell_id"), F.col("half").alias("draw"), F.col("average_precision").alias("metric"))
+    return cells, draws
+
+
+@query
+def comparison_statuses(spark, d):
+    cells, draws = _cells(spark, d)
+    n = spark.range(24).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("comparison_id"), F.concat(F.lit("src"), F.col("id").cast("string")).alias("cell_a"), F.concat(F.lit("src"), ((F.col("id") * 7 + 3) % 21).cast("string")).alias("cell_b"), F.concat(F.lit("f"), (F.col("id") % 2).cast("string")).alias("family"))
+    return studies.comparison_statuses(n, cells, draws)
+
+
+@query
+def feature_independence(spark, d):
+    spaces = spark.createDataFrame([("engineered", "h1", "s1"), ("embedding", "h2", "s2"), ("renamed", "h3", "s2"), ("copied", "h1", "s4")], "name string, artifact_hash string, signature string")
+    pairs = spaces.select(F.col("name").alias("generator")).crossJoin(spaces.select(F.col("name").alias("auditor")).unionByName(spark.createDataFrame([("unknown",)], "auditor string")))
+    return studies.independence(pairs.withColumn("decision", F.when(F.col("auditor") == "copied", "undecided").otherwise("verified_independent")), spaces)
+
+
+@query
+def oof_violations(spark, d):
+    s = src.probs(spark, d)
+    bad = s.withColumn("probs", F.when(F.col("sample_id") == "s00000001", F.array(F.lit(1.0))).otherwise(F.col("probs"))).withColumn("fold_id", F.when(F.col("sample_id") == "s00000002", 4).otherwise(F.col("fold_id")))
+    return studies.oof_violations(bad.where("sample_id <> 's00000009'").unionByName(bad.where("sample_id = 's00000004'")), len(C), expected=s)
+
+
+@query
+def matched_operands(spark, d):
+    e = src.events(spark, d).withColumn("other", F.round(F.col("score") * fn.unit_hash("other", "doc_id"), 3))
+    one = ranking.auroc(e, F.col("event"), "score", by=["subgroup"])
+    return studies.matched_operands(one, ranking.auroc(e, F.col("event"), "other", by=["subgroup"]), ["subgroup"], "auroc")
+
+
+@query
+def overlap_evidence(spark, d):
+    o = qc.overlap_evidence(src.pixels(spark), [0, 1])
+    return o.select("patch_id", "channel", "instance_id", F.explode("overlaps").alias("o")).select("patch_id", "channel", "instance_id", F.col("o.channel").alias("other_channel"), F.col("o.instance_id").alias("other_id"), F.col("o.n").alias("n"))
+
+
+@query
+def label_mapping(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    mapping = {"1-URGENT": "high", "2-HIGH": "high", "3-MEDIUM": "low", "4-NOT SPECIFIED": None, "5-LOW": "low"}
+    return qc.map_labels(o, "o_orderpriority", mapping).groupBy("mapped_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def collapse_to_parent(spark, d):
+    return qc.collapse_to_parent(src.samples(spark, d), "group_id", ["fold_id"])
+
+
+@query
+def random_rankings(spark, d):
+    return bootstrap.random_rankings_precision(src.events(spark, d), F.col("event"), "doc_id", 30, 20, 51)
+
+
 # Models
 
 
@@ -723,6 +841,22 @@ def strategy_comparison(spark, d):
     return models.compare_strategies(train, test, policies, "pre_corruption_label", C, l2=1e-2)
 
 
+@query
+def downstream_restoration(spark, d):
+    s = splits.corrupt_symmetric(src.samples(spark, d), 0.2, C, 21)
+    guided = F.col("is_corrupted") & (fn.unit_hash("guided", "sample_id") < 0.8)
+    return studies.downstream_restoration(s.where("fold_id <> 0"), s.where("fold_id = 0"), guided, 80, C, repeats=1)
+
+
+@query
+def policy_search(spark, d):
+    c = spark.range(40).select(F.sha2(F.col("id").cast("string"), 256).alias("candidate_sha"), F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("risk_method"), (F.col("id") % 2).alias("budget"), (F.col("id") % 5).alias("complexity"))
+    c = c.withColumn("objective", F.round(fn.unit_hash("objective", "candidate_sha"), 3)).withColumn("effect", F.round(fn.unit_hash("effect", "candidate_sha"), 3))
+    finalists = models.pick_finalists(c, 1, 8)
+    expected = [r[0] for r in finalists.select("candidate_sha").collect()]
+    return studies.exact_finalists(finalists, expected, models.pick_winner, "m0")
+
+
 @query
 def group_folds(spark, d):
     plan = splits.group_fold_plan(src.samples(spark, d), "group_id", "observed_label", 5, 3)

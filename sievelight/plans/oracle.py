@@ -353,12 +353,12 @@ SELECT patch_id, channel, instance_id, y0, x0, y1, x1, round(cy, 6) AS centroid_
 SELECT sample_id, 'missing_group' AS rule FROM a WHERE group_id IS NULL UNION ALL SELECT sample_id, 'label_out_of_range' FROM a WHERE observed_label NOT BETWEEN 0 AND 9 UNION ALL SELECT sample_id, 'flag_disagrees' FROM a WHERE is_corrupted <> (pre_corruption_label <> observed_label) UNION ALL SELECT sample_id, 'repeated_sample_id' FROM a GROUP BY 1 HAVING count(*) > 1""",
     "value_scan": "SELECT l_returnflag, count(*) AS n, round(min(l_quantity), 6) AS least, round(max(l_quantity), 6) AS greatest, count(DISTINCT l_quantity) AS n_distinct, bool_and(isfinite(l_quantity)) AS all_finite, bool_and(l_quantity >= 0) AS all_nonnegative, bool_and(l_quantity = floor(l_quantity)) AS all_whole FROM lineitem GROUP BY 1",
     "constant_in_group": "SELECT l_orderkey, count(DISTINCT l_linestatus) + max((l_linestatus IS NULL)::int) AS n_values FROM lineitem GROUP BY 1 HAVING n_values > 1",
-    "reconcile_diff": f"""WITH {TIES}, s AS (SELECT grp, average_precision AS a FROM {ap('ti', 'grp')}), c AS (SELECT grp, CASE WHEN grp % 7 = 0 THEN a + 0.5 ELSE a END AS b FROM s WHERE grp % 11 <> 0)
-SELECT grp, round(a, 6) AS saved_average_precision, round(b, 6) AS computed_average_precision FROM s LEFT JOIN c USING (grp) WHERE b IS NULL OR abs(a - b) > 1e-9""",
+    "reconcile_diff": f"""WITH {TIES}, t2 AS (SELECT event, grp, round(score, 1) AS score FROM ti), s AS (SELECT grp, average_precision AS a FROM {ap('ti', 'grp')}), c AS (SELECT grp, average_precision AS b FROM {ap('t2', 'grp')})
+SELECT grp, round(a, 6) AS saved_average_precision, round(b, 6) AS computed_average_precision FROM s JOIN c USING (grp) WHERE abs(a - b) > 0.005""",
     "summary_by_fold_class_tissue": f"WITH {SAMPLES} SELECT fold_id, observed_label, tissue, count(*) AS n_samples, count(DISTINCT group_id) AS n_patches FROM samples GROUP BY ALL",
     "exclusion_reasons": "SELECT CASE WHEN quality IS NULL THEN 'missing_truth' WHEN toxic = 1 THEN 'excluded_label' WHEN n_chars < 200 THEN 'too_short' WHEN n_chars > 8000 THEN 'too_long' END AS exclusion_reason, lang, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL",
     "label_normalise": "SELECT nullif(regexp_replace(lower(trim('  Correction_' || o_orderpriority || ' ')), '^correction_', ''), '') AS label, count(*) AS n FROM orders GROUP BY 1",
-    "set_diff_inventory": """WITH b AS (SELECT 'f' || doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0), a AS (SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 5 <> 0)
+    "set_diff_inventory": """WITH b AS (SELECT 'f' || o_orderkey AS path, sha256(o_orderstatus) AS h FROM orders), a AS (SELECT 'f' || l_orderkey AS path, sha256(min(l_linestatus)) AS h FROM lineitem GROUP BY l_orderkey)
 SELECT path, CASE WHEN a.h IS NULL THEN 'missing' WHEN b.h IS NULL THEN 'added' ELSE 'changed' END AS change FROM b FULL JOIN a USING (path) WHERE a.h IS NULL OR b.h IS NULL OR a.h <> b.h""",
     "having_multi_label": "SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_labels, count(*) AS n FROM orders GROUP BY 1 HAVING n_labels > 1",
     "feature_concat": f"WITH {SAMPLES} SELECT sample_id, 12::int AS width, round(list_sum(features[1:8]) + list_sum(list_transform(features[9:12], lambda x: round(x * 2, 9))), 6) AS total FROM samples",
@@ -370,3 +370,74 @@ SELECT path, CASE WHEN a.h IS NULL THEN 'missing' WHEN b.h IS NULL THEN 'added'
 SELECT p_partkey, floor((x0 + x1) / 2)::bigint AS floor_x, round_even((x0 + x1) / 2, 0)::bigint AS even_x, w AS width, h AS height, round(ln(w * h), 6) AS log_area, round(ln(w / h), 6) AS log_aspect FROM p""",
     "temperature_scaled": f"WITH {PROBS}, l AS (SELECT sample_id, list_transform(p, lambda x: ln(least(1.0, greatest(1e-15, x))) / 0.5) AS l FROM probs), e AS (SELECT sample_id, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM l) SELECT sample_id, round(list_max(e) / list_sum(e), 6) AS top FROM e",
 }
+
+CROPS = """pxl AS (SELECT *, y BETWEEN 3 AND 4 + sample_id % 5 AND x BETWEEN 2 AND 3 + sample_id % 7 AS target,
+  ((sample_id * 31 + y * 17 + x * 11 + y * x) % 256)::int AS red, ((sample_id * 7 + y * 29 + x * 5 + y * x) % 256)::int AS green, ((sample_id * 13 + y * 3 + x * 23 + y * x) % 256)::int AS blue
+  FROM (SELECT i::int AS sample_id, a::int AS y, b::int AS x FROM range(8) t(i), range(12) u(a), range(12) v(b)))"""
+GREY = CROPS + """,
+gp AS (SELECT *, red / 255.0::double * 0.2989::double + green / 255.0::double * 0.5870::double + blue / 255.0::double * 0.1140::double AS g FROM pxl)"""
+
+
+def crop(place: str) -> str:
+    """Crops of 8 around each box's corner; ``place`` maps a coordinate into the image."""
+    return f"""WITH {CROPS}, c AS (SELECT i::int AS sample_id, cy::int AS y, cx::int AS x, {place.format(v='(3 - 4 + cy)')} AS py, {place.format(v='(2 - 4 + cx)')} AS px FROM range(8) t(i), range(8) u(cy), range(8) v(cx))
+SELECT c.sample_id, c.y, c.x, red, green, blue FROM c JOIN pxl ON pxl.sample_id = c.sample_id AND pxl.y = py AND pxl.x = px"""
+
+
+RGB = ("red", "green", "blue")
+FIGURES = ("contrast", "dissimilarity", "homogeneity", "angular_second_moment", "energy", "correlation", "entropy")
+
+SQL |= {
+    "crop_edge": crop("least(11, greatest(0, {v}))"),
+    "crop_reflect": crop("CASE WHEN {v} < 0 THEN -({v}) WHEN {v} > 11 THEN 22 - {v} ELSE {v} END"),
+    "crop_target_box": f"""WITH {CROPS}, b AS (SELECT sample_id, min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1 FROM pxl WHERE target GROUP BY 1), s AS (SELECT *, greatest(x1 - x0, y1 - y0) + 4 AS side FROM b),
+l AS (SELECT *, greatest(0, floor((x0 + x1) / 2 - side / 2)) AS lx, greatest(0, floor((y0 + y1) / 2 - side / 2)) AS ly FROM s)
+SELECT sample_id, greatest(0, least(12, lx + side) - side)::int AS crop_x0, greatest(0, least(12, ly + side) - side)::int AS crop_y0, least(12, lx + side)::int AS crop_x1, least(12, ly + side)::int AS crop_y1 FROM l""",
+    "highlight": f"WITH {CROPS} SELECT sample_id, y, x, " + ", ".join(f"CASE WHEN target THEN {c} ELSE round_even({c} * 0.45::double, 0)::int END AS {c}" for c in RGB) + " FROM pxl",
+    "colour_histogram": f"WITH {CROPS} SELECT sample_id, " + ", ".join(f"round(avg((least(7, floor({c} / 255.0::double * 8)) = {i})::int), 6) AS {c}_{i:02d}" for c in RGB for i in range(8)) + " FROM pxl WHERE target GROUP BY 1",
+    "colour_statistics": f"WITH {CROPS} SELECT sample_id, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std, max({c}) - min({c}) AS {c}_range" for c in RGB) + " FROM pxl WHERE target GROUP BY 1",
+    "intensity_features": f"""WITH {GREY}, k AS (SELECT *, target AND (SELECT count(*) FROM pxl o WHERE o.sample_id = gp.sample_id AND o.target AND abs(o.y - gp.y) <= 1 AND abs(o.x - gp.x) <= 1) < 9 AS edge FROM gp),
+s AS (SELECT sample_id, avg(g) FILTER (target) AS target_mean, stddev_pop(g) FILTER (target) AS target_std, min(g) FILTER (target) AS target_min, max(g) FILTER (target) AS target_max,
+  """
+    + ", ".join(f"quantile_cont(g, {q}) FILTER (target) AS target_q{int(100 * q):02d}" for q in (0.1, 0.25, 0.5, 0.75, 0.9))
+    + """, avg(g) FILTER (NOT target) AS context_mean, stddev_pop(g) FILTER (NOT target) AS context_std, avg(g) FILTER (edge) AS boundary_mean, stddev_pop(g) FILTER (edge) AS boundary_std,
+  min(g) FILTER (edge) AS boundary_min, max(g) FILTER (edge) AS boundary_max, coalesce(avg(g) FILTER (target AND NOT edge), avg(g) FILTER (target)) AS inr FROM k GROUP BY 1)
+SELECT sample_id, """
+    + ", ".join(f"round({c}, 6) AS {c}" for c in ("target_mean", "target_std", "target_min", "target_max", "target_q10", "target_q25", "target_q50", "target_q75", "target_q90", "context_mean", "context_std", "boundary_mean", "boundary_std", "boundary_min", "boundary_max"))
+    + ", round(target_mean - context_mean, 6) AS target_minus_context, round(boundary_mean - inr, 6) AS boundary_minus_interior, round(boundary_mean - context_mean, 6) AS boundary_minus_context FROM s",
+    "texture_features": f"""WITH {GREY}, q AS (SELECT sample_id, y, x, least(15, floor(g * 16))::int AS v FROM gp WHERE target), o AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 0), (2, 1, 1), (3, 1, -1)) t(d, dy, dx)),
+p1 AS (SELECT a.sample_id, d, a.v AS i, b.v AS j FROM q a, o, q b WHERE a.sample_id = b.sample_id AND b.y = a.y + dy AND b.x = a.x + dx), p2 AS (SELECT * FROM p1 UNION ALL SELECT sample_id, d, j, i FROM p1),
+n AS (SELECT sample_id, d, i, j, count(*) AS n FROM p2 GROUP BY ALL), w AS (SELECT *, n / sum(n) OVER (PARTITION BY sample_id, d) AS p, sum(n * i) OVER (PARTITION BY sample_id, d) / sum(n) OVER (PARTITION BY sample_id, d) AS mi, sum(n * j) OVER (PARTITION BY sample_id, d) / sum(n) OVER (PARTITION BY sample_id, d) AS mj FROM n),
+f AS (SELECT sample_id, d, sum(p * (i - j) ** 2) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1.0 + (i - j) ** 2)) AS homogeneity, sum(p * p) AS angular_second_moment, sqrt(sum(p * p)) AS energy,
+  CASE WHEN sqrt(sum(p * (i - mi) ** 2)) * sqrt(sum(p * (j - mj) ** 2)) > 2.2e-16 THEN sum(p * (i - mi) * (j - mj)) / (sqrt(sum(p * (i - mi) ** 2)) * sqrt(sum(p * (j - mj) ** 2))) ELSE 1.0 END AS correlation, -sum(p * log2(p)) AS entropy FROM w GROUP BY ALL)
+SELECT sample_id, """
+    + ", ".join(f"round({f}({c}), 6) AS {c}_{n}" for n, f in (("mean", "avg"), ("std", "stddev_pop")) for c in FIGURES)
+    + " FROM f GROUP BY 1",
+    "crop_statistics": f"WITH {CROPS}, s AS (SELECT sample_id, "
+    + ", ".join(f"avg({c} / 255.0::double) AS {c}_mean, stddev_pop({c} / 255.0::double) AS {c}_std, avg({c} / 255.0::double) FILTER (y BETWEEN 3 AND 8 AND x BETWEEN 3 AND 8) AS {c}_centre_mean, stddev_pop({c} / 255.0::double) FILTER (y BETWEEN 3 AND 8 AND x BETWEEN 3 AND 8) AS {c}_centre_std" for c in RGB)
+    + " FROM pxl GROUP BY 1), b AS (SELECT i::int AS sample_id, (2 + i % 7)::double AS w, (2 + i % 5)::double AS h FROM range(8) t(i)) SELECT sample_id, "
+    + ", ".join(f"round({c}_{k}, 6) AS {c}_{k}" for c in RGB for k in ("mean", "std", "centre_mean", "centre_std"))
+    + ", "
+    + ", ".join(f"round({c}_centre_mean - {c}_mean, 6) AS {c}_contrast" for c in RGB)
+    + ", round(ln(1 + w), 6) AS log_width, round(ln(1 + h), 6) AS log_height, round(ln(1 + w * h), 6) AS log_area, round(w / h, 6) AS aspect, round(ln(w / h), 6) AS log_aspect FROM s JOIN b USING (sample_id)",
+    "comparison_statuses": f"""WITH {EVENTS}, ce AS (SELECT grp AS cell, substr(grp, 4, 2)::int % 6 = 5 AS circ, n_events, average_precision AS m FROM {ap('ev', 'grp')}), eh AS (SELECT event, score, grp || ':' || floor({u('half', 'doc_id')} * 4)::int AS gh FROM ev),
+dw AS (SELECT split_part(gh, ':', 1) AS cell, split_part(gh, ':', 2) AS draw, average_precision AS m FROM {ap('eh', 'gh')}), c AS (SELECT 'c' || lpad(i::varchar, 2, '0') AS comparison_id, 'src' || i AS a, 'src' || ((i * 7 + 3) % 21) AS b, 'f' || (i % 2) AS family FROM range(24) t(i)),
+j AS (SELECT c.*, x.m - y.m AS pd, CASE WHEN x.cell IS NULL OR y.cell IS NULL THEN 'not_available_frozen_optional_cell' WHEN x.circ OR y.circ THEN 'excluded_circularity_risk' WHEN x.n_events = 0 OR y.n_events = 0 THEN 'not_applicable_zero_corruption' ELSE 'reported' END AS status FROM c LEFT JOIN ce x ON x.cell = a LEFT JOIN ce y ON y.cell = b),
+s AS (SELECT comparison_id, family, count(p.m - q.m) AS valid_draws, avg(p.m - q.m) AS md, quantile_cont(p.m - q.m, 0.025) AS low, quantile_cont(p.m - q.m, 0.975) AS high, (1 + coalesce(sum((p.m - q.m <= 0)::int), 0)) / (1 + count(p.m - q.m)) AS p
+  FROM j JOIN dw p ON p.cell = a JOIN dw q ON q.cell = b AND q.draw = p.draw WHERE status = 'reported' GROUP BY ALL),
+h AS (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, comparison_id) + 1) * p AS step FROM s),
+k AS (SELECT *, least(1.0, max(step) OVER (PARTITION BY family ORDER BY p, comparison_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adj FROM h)
+SELECT j.comparison_id, j.family, status, CASE WHEN status = 'reported' THEN round(pd, 6) END AS point_difference, valid_draws, round(md, 6) AS mean_difference, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, round(adj, 6) AS adjusted FROM j LEFT JOIN k USING (comparison_id)""",
+    "feature_independence": """WITH s AS (SELECT * FROM (VALUES ('engineered', 'h1', 's1'), ('embedding', 'h2', 's2'), ('renamed', 'h3', 's2'), ('copied', 'h1', 's4')) t(n, h, g)), a AS (SELECT * FROM s UNION ALL SELECT 'unknown', NULL, NULL),
+p AS (SELECT s.n AS generator, a.n AS auditor, CASE WHEN a.n = 'copied' THEN 'undecided' ELSE 'verified_independent' END AS decision, CASE WHEN a.h IS NULL THEN 'unverified' WHEN s.h = a.h OR s.g = a.g OR a.n = 'copied' THEN 'circularity_risk' ELSE 'verified_independent' END AS status FROM s, a)
+SELECT *, status <> 'verified_independent' AS circularity_risk FROM p""",
+    "oof_violations": f"""WITH {SAMPLES}, f AS (SELECT group_id, CASE WHEN sample_id = 's00000002' THEN 4 ELSE fold_id END AS fold_id FROM samples WHERE sample_id <> 's00000009')
+SELECT 'predicted_twice' AS rule, 's00000004' AS detail UNION ALL SELECT 'bad_probabilities', 's00000001' UNION ALL SELECT 'not_predicted', 's00000009' UNION ALL SELECT 'group_in_several_folds', group_id FROM f GROUP BY group_id HAVING count(DISTINCT fold_id) > 1""",
+    "matched_operands": f"""WITH {EVENTS}, e2 AS (SELECT * REPLACE (round(score * {u('other', 'doc_id')}, 3) AS score) FROM ev),
+x AS ({auc('ev', 'subgroup').replace('round(', '(').replace(', 6) AS auroc', ') AS auroc')}), y AS ({auc('e2', 'subgroup').replace('round(', '(').replace(', 6) AS auroc', ') AS auroc')})
+SELECT subgroup, round(x.auroc, 6) AS first, round(y.auroc, 6) AS second, round(x.auroc - y.auroc, 6) AS difference FROM x JOIN y USING (subgroup)""",
+    "overlap_evidence": f"WITH {PIXELS} SELECT a.patch_id, a.channel, a.value AS instance_id, b.channel AS other_channel, b.value AS other_id, count(*) AS n FROM px a JOIN px b USING (patch_id, y, x) WHERE a.channel < 2 AND b.channel < 2 AND a.value > 0 AND b.value > 0 AND (a.channel <> b.channel OR a.value <> b.value) GROUP BY ALL",
+    "label_mapping": "SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority IN ('3-MEDIUM', '5-LOW') THEN 'low' END AS mapped_label, count(*) AS n FROM orders GROUP BY 1",
+    "collapse_to_parent": f"WITH {SAMPLES} SELECT group_id, min(fold_id) AS fold_id, count(*) AS n_rows FROM samples GROUP BY 1",
+    "random_rankings": f"WITH {EVENTS}, r AS (SELECT run::int AS run, event, row_number() OVER (PARTITION BY run ORDER BY {u(51, 'run', 'doc_id')} DESC, doc_id) AS k FROM ev, range(20) t(run)) SELECT run, round(avg(event::int), 6) AS \"precision\" FROM r WHERE k <= 30 GROUP BY run",
+}

@@ -97,3 +97,17 @@ def pixels(spark: SparkSession, n_patches: int = 12, height: int = 13, width: in
         .otherwise(0)
     )
     return p.select((F.col("patch_id") % 3).alias("fold"), "patch_id", "y", "x", "channel", value.cast("int").alias("value"))
+
+
+def crops(spark: SparkSession, n: int = 8, size: int = 12) -> DataFrame:
+    """Small colour images with a target in each, as a pixel table; sample i has a larger target for larger i."""
+    p = spark.range(n * size * size).select(
+        F.floor(F.col("id") / (size * size)).cast("int").alias("sample_id"), F.floor(F.col("id") % (size * size) / size).cast("int").alias("y"), (F.col("id") % size).cast("int").alias("x")
+    )
+    colour = lambda a, b, c: ((F.col("sample_id") * a + F.col("y") * b + F.col("x") * c + F.col("y") * F.col("x")) % 256).cast("int")
+    target = F.col("y").between(3, 4 + F.col("sample_id") % 5) & F.col("x").between(2, 3 + F.col("sample_id") % 7)
+    return p.select("sample_id", F.col("sample_id").alias("image_id"), "y", "x", colour(31, 17, 11).alias("red"), colour(7, 29, 5).alias("green"), colour(13, 3, 23).alias("blue"), target.alias("target"))
+
+
+def crop_boxes(spark: SparkSession, n: int = 8) -> DataFrame:
+    return spark.range(n).select(F.col("id").cast("int").alias("sample_id"), F.lit(2).alias("xmin"), F.lit(3).alias("ymin"), (4 + F.col("id") % 7).cast("int").alias("xmax"), (5 + F.col("id") % 5).cast("int").alias("ymax"))
