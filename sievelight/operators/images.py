@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Weights of the channels in a grey value, and the four directions of texture.
 GREY = (0.2989, 0.5870, 0.1140)
 OFFSETS = ((0, 1), (1, 0), (1, 1), (1, -1))
 

@@ -20,8 +20,7 @@ def hybrid_score(df: DataFrame, components: dict[str, float], name: str = "hybri
     if not components or any(not w > 0 for w in components.values()):
         raise ValueError("components need positive weights")
     total = sum(components.values())
-    for c in components:
-        df = percentile_normalise(df, c, name=f"_p_{c}")
+    df = percentile_normalise(df, *components, names=[f"_p_{c}" for c in components])
     score = sum((F.col(f"_p_{c}") * (w / total) for c, w in components.items()), F.lit(0.0))
     return df.withColumn(name, score).drop(*[f"_p_{c}" for c in components])
 
@@ -30,8 +29,7 @@ def hybrid_drop_one(df: DataFrame, components: dict[str, float]) -> DataFrame:
     """The hybrid without each component in turn, as columns ``without_<component>``; the others keep their ratios."""
     if len(components) < 2:
         raise ValueError("a drop-one ablation needs two components")
-    for c in components:
-        df = percentile_normalise(df, c, name=f"_p_{c}")
+    df = percentile_normalise(df, *components, names=[f"_p_{c}" for c in components])
     for left_out in components:
         rest = {c: w for c, w in components.items() if c != left_out}
         total = sum(rest.values())
@@ -101,7 +99,7 @@ def balanced_queue(df: DataFrame, priority: str, n: int, quotas: Quotas) -> tupl
 
 def quality_queue_priority(df: DataFrame, risk: str, minimum: float) -> DataFrame:
     """Priority of the annotation queue: the percentile of the risk; rows under the least risk leave."""
-    return percentile_normalise(df, risk, name="priority").where(F.col(risk) >= minimum)
+    return percentile_normalise(df, risk, names=["priority"]).where(F.col(risk) >= minimum)
 
 
 def model_queue_priority(df: DataFrame, risk: str, lower: str, minimum_gain: float, evidence_role: str) -> DataFrame:
@@ -109,14 +107,14 @@ def model_queue_priority(df: DataFrame, risk: str, lower: str, minimum_gain: flo
 
     Rows need a bound above the least gain.  Without cross-fitted evidence the queue is unavailable: it has no rows.
     """
-    both = percentile_normalise(percentile_normalise(df, risk, name="_a"), lower, name="_b")
+    both = percentile_normalise(df, risk, lower, names=["_a", "_b"])
     both = both.withColumn("priority", 0.5 * F.col("_a") + 0.5 * F.col("_b")).drop("_a", "_b").where(F.col(lower) > minimum_gain)
     return both if evidence_role == "cross_fitted" else both.where(F.lit(False))
 
 
 def utility_priority(df: DataFrame, risk: str, lower: str) -> DataFrame:
     """Priority by measured utility: the risk's percentile times the gain bound where that is positive."""
-    both = percentile_normalise(df, risk, name="_a")
+    both = percentile_normalise(df, risk, names=["_a"])
     return both.withColumn("priority", F.col("_a") * F.greatest(F.col(lower), F.lit(0.0))).drop("_a")
 
 

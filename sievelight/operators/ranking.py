@@ -72,16 +72,30 @@ def top_n(df: DataFrame, score: str, row_id: str, n: int, *, by: Sequence[str] =
     return df.orderBy(F.col(score).desc(), F.col(row_id).asc()).limit(n)
 
 
-def percentile_normalise(df: DataFrame, value: str, *, by: Sequence[str] = (), name: str = "percentile") -> DataFrame:
-    """Average-tie percentile of ``value`` over n - 1, ascending; a single row gets 0.5."""
+def percentile_table(df: DataFrame, value: str, *, by: Sequence[str] = (), name: str = "percentile") -> DataFrame:
+    """(group, value ``_x``, percentile): the average-tie percentile of each distinct value over n - 1, ascending."""
     groups = df.groupBy(*by, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_peers"))
     cumulated = running(groups, {"_upto": F.col("_peers")}, "_x", by=by, descending=False)
-    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    total = groups.groupBy(*by).agg(F.sum("_peers").alias("_n"))
     cumulated = cumulated.join(total, _same(cumulated, total, by)).select(cumulated["*"], total["_n"]) if by else cumulated.crossJoin(F.broadcast(total))
     place = F.col("_upto") - F.col("_peers") + (F.col("_peers") - 1) / 2.0
-    table = cumulated.select(*by, "_x", F.when(F.col("_n") == 1, F.lit(0.5)).otherwise(place / (F.col("_n") - 1)).alias(name))
-    out = df.join(table, _same(df, table, by) & df[value].eqNullSafe(table["_x"]))
-    return out.select(df["*"], table[name])
+    return cumulated.select(*by, "_x", F.when(F.col("_n") == 1, F.lit(0.5)).otherwise(place / (F.col("_n") - 1)).alias(name))
+
+
+def percentile_normalise(df: DataFrame, *values: str, by: Sequence[str] = (), names: Sequence[str] = ("percentile",)) -> DataFrame:
+    """Add the average-tie percentile of each of ``values`` over n - 1, ascending, by ``names``; a single row gets 0.5.
+
+    All tables of percentiles come from ``df`` itself, so several values don't multiply the work before them.
+    """
+    out = df
+    for value, name in zip(values, names, strict=True):
+        table = percentile_table(df, value, by=by, name=name)
+        table = table.withColumnsRenamed({c: f"_k_{c}" for c in by})
+        on = F.col(value).eqNullSafe(F.col("_x"))
+        for c in by:
+            on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        out = out.join(table, on).drop("_x", *[f"_k_{c}" for c in by])
+    return out
 
 
 def _curve(df: DataFrame, event: Column, score: str, by: Sequence[str], weight: Column) -> DataFrame:

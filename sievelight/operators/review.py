@@ -122,7 +122,7 @@ def persistent_risk(history: DataFrame, *, threshold: float, checkpoint_share: f
         F.sqrt(F.greatest(F.lit(0.0), F.sum("q") / n - (F.sum("s") / n) * (F.sum("s") / n))).alias("std_risk"),
     )
     samples = samples.withColumn("persistent", F.col("stable_fraction") >= model_share - 1e-12).withColumn("mean_risk", F.round("mean_risk", 12))
-    samples = percentile_normalise(samples, "mean_risk", name="_p")
+    samples = percentile_normalise(samples, "mean_risk", names=["_p"])
     return samples.withColumn("priority", F.when(F.col("persistent"), F.col("_p")).otherwise(0.0)).drop("_p")
 
 

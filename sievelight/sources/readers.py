@@ -160,7 +160,7 @@ def load_config(path: str) -> dict:
         return json.load(f, object_pairs_hook=pairs, parse_constant=reject)
 
 
-#: Shares of the five classes of generated samples.
+# Shares of the five classes of generated samples.
 CLASS_SHARES = (0.39, 0.25, 0.17, 0.11, 0.08)
 
 
