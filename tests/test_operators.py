@@ -318,3 +318,37 @@ def test_sources_and_sinks(spark, tmp_path):
         readers.load_config(str(tmp_path / "c.json"))
     chain = sinks.chain_records([{"a": 1}, {"a": 2}])
     assert sinks.verify_chain(chain) and not sinks.verify_chain([chain[0] | {"a": 3}, chain[1]])
+
+
+def test_soft_targets_and_perceptron(spark):
+    df = samples(spark).withColumn("targets", F.transform(F.array(*[F.lit(c) for c in range(3)]), lambda c: F.when(c == F.col("observed_label"), 0.8).otherwise(0.1))).withColumn("weight", F.lit(1.0))
+    for predict in (models.soft_logistic(df, "targets", (0, 1, 2)), models.perceptron(df, "observed_label", (0, 1, 2), hidden=4, max_iter=20)):
+        out = predict(df)
+        assert out.count() == 60 and out.where(~fn.valid_probabilities(F.col("probs"), 3)).count() == 0
+        assert out.where(fn.predicted_class(F.col("probs"), (0, 1, 2)) == F.col("observed_label")).count() > 30
+
+
+def test_small_functions(spark):
+    row = spark.range(1).select(
+        fn.spread_indices(F.lit(10), F.lit(4)).alias("spread"),
+        fn.spread_indices(F.lit(3), F.lit(5)).alias("all"),
+        fn.normalise_label(F.lit("  Correction_Tumor ")).alias("label"),
+        fn.normalise_label(F.lit("  ")).alias("blank"),
+        fn.hamming_hex(F.lit("ff"), F.lit("0f")).alias("bits"),
+        fn.box_centre(F.lit(1), F.lit(2)).alias("low"),
+        fn.box_centre(F.lit(1), F.lit(2), half_even=True).alias("even"),
+        fn.ratio(F.lit(1), F.lit(0)).alias("ratio"),
+    ).first()
+    assert (row["spread"], row["all"], row["label"], row["blank"], row["bits"], row["low"], row["even"], row["ratio"]) == ([0, 3, 6, 9], [0, 1, 2], "tumor", None, 4, 1, 2, None)
+
+
+def test_finalists_have_to_be_exact(spark):
+    from sievelight.operators import studies
+
+    c = spark.createDataFrame([(f"c{i}", f"m{i % 2}", 1, i, float(i), 0.1) for i in range(6)], "candidate_sha string, risk_method string, budget int, complexity int, objective double, effect double")
+    out = {r["pool"]: r["candidate_sha"] for r in studies.exact_finalists(c, [f"c{i}" for i in range(6)], models.pick_winner, "m1").collect()}
+    assert out == {"all": "c5", "without_m1": "c4"}
+    with pytest.raises(ValueError):
+        studies.exact_finalists(c, ["c0"], models.pick_winner, "m1")
+    halved = models.successive_halving(c, [("one", 4, lambda x: x), ("two", 2, lambda x: x.withColumn("objective", -F.col("objective")))])
+    assert {r["candidate_sha"] for r in halved.collect()} == {"c2", "c3"}
