@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,21 +40,63 @@ def _rolled(h: np.ndarray, n: int) -> np.ndarray:
     return _mix(out)
 
 
+class _Powers:
+    """Powers of the odd factor of word hashes and of its inverse, modulo 2^64, and a number for each byte."""
+
+    FACTOR = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.bytes = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            both = []
+            for f in (self.FACTOR, pow(self.FACTOR, -1, 1 << 64)):
+                steps = np.full(n, f, np.uint64)
+                steps[0] = 1
+                both.append(np.cumprod(steps, dtype=np.uint64))
+            self.up, self.down = both
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: Bytes whose word hashes are computed at once.
+SPAN = 2 << 20
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word raw[start:end]: a polynomial of its bytes, read off running sums, and mixed with its length."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SPAN, "right")))
+        first = int(starts[at])
+        up, down = _POWERS.to(max(SPAN, int(ends[to - 1]) - first))
+        piece = raw[first : ends[to - 1]]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_POWERS.bytes[piece] * up[: len(piece)], dtype=np.uint64)])
+        s, e = starts[at:to] - first, ends[at:to] - first
+        out[at:to] = _mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
+
+
 class _Words:
-    """The words of a block in one row: numbers, hashes, and the place where each word's document ends."""
-
-    def __init__(self, sizes: list[int], blob: bytes, keep_words: bool = False) -> None:
-        known = B.Vocabulary()
-        parts, self.words = [], []
-        for text in B.texts(sizes, blob):
-            w = text.split()
-            parts.append(known.numbers(w))
-            if keep_words:
-                self.words.append(w)
-        self.counts = np.array([len(p) for p in parts], np.int64)
-        self.numbers = np.concatenate([*parts, np.zeros(0, np.int64)])
-        table = np.fromiter((xxhash.xxh64_intdigest(w, 20) for w in known), np.uint64, len(known))
-        self.hashes = table[self.numbers]
+    """The words of a block in one row: their hashes, and the place where each word's document ends."""
+
+    def __init__(self, sizes: list[int], blob: bytes) -> None:
+        raw = np.frombuffer(B.expand(blob), np.uint8)
+        inside = _IN_WORD[raw]
+        limits = np.cumsum(np.array(sizes, np.int64))
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[0] = True
+        edge[limits] = True
+        before, after = np.concatenate([[False], inside[:-1]]), np.concatenate([inside[1:], [False]])
+        starts = np.flatnonzero(inside & (edge[:-1] | ~before[: len(raw)]))
+        ends = np.flatnonzero(inside & (edge[1:] | ~after[: len(raw)])) + 1
+        self.hashes = _word_hashes(raw, starts, ends)
+        self.counts = np.bincount(np.searchsorted(limits, starts, "right"), minlength=len(sizes)).astype(np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
         ends = np.repeat(self.starts + self.counts, self.counts)
         #: Places where a window begins that ends inside its document.
@@ -84,8 +125,9 @@ class _Words:
         Each digit has an alphabet of its own, so a match begins where a word does; and nodes of the automata, which
         look for a child by going through all, have few.
         """
-        base = int(np.ceil((self.numbers.max(initial=0) + 1) ** (1 / LETTERS))) + 1
-        digits, rest = np.empty((len(self.numbers), LETTERS), np.uint32), self.numbers
+        distinct, numbers = np.unique(self.hashes, return_inverse=True)
+        base = int(np.ceil((len(distinct) + 1) ** (1 / LETTERS))) + 1
+        digits, rest = np.empty((len(numbers), LETTERS), np.uint32), numbers
         for d in reversed(range(LETTERS)):
             digits[:, d] = rest % base + 1 + d * base
             rest = rest // base
@@ -96,7 +138,7 @@ class _Words:
 
         Documents are joined for the automata, as windows across their ends are ruled out below.
         """
-        found = np.zeros(len(self.numbers) + 1, np.int64)
+        found = np.zeros(len(self.hashes) + 1, np.int64)
         place = np.searchsorted(recurring, g & SENT)
         place[place == len(recurring)] = 0
         hit = np.flatnonzero(recurring[place] == g & SENT) if len(recurring) else np.zeros(0, np.int64)
@@ -134,8 +176,8 @@ def _ids(table: pa.Table) -> np.ndarray:
     return np.array([NO_ID if x is None else x for x in table.column("doc_id")[0].as_py()], np.int64)
 
 
-def _block(table: pa.Table, keep_words: bool = False) -> _Words:
-    return _Words(table.column("sizes")[0].as_py(), table.column("blob")[0].as_py(), keep_words)
+def _block(table: pa.Table) -> _Words:
+    return _Words(table.column("sizes")[0].as_py(), table.column("blob")[0].as_py())
 
 
 def _rows(kind: str, rows: list[tuple]) -> pa.Table:
@@ -258,7 +300,7 @@ def remove_repeats(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES, digest:
     last = "kept_sha256" if digest else "kept_text"
 
     def removed(table: pa.Table, answers: pa.Table) -> pa.Table:
-        w = _block(table, keep_words=True)
+        w = _block(table)
         n = len(w.window_at)
         candidate = np.unpackbits(np.frombuffer(B.expand(_by_bucket(answers, "self")[0]), np.uint8), count=n).astype(bool)
         _, _, _, _, at, number, new, owner_ids, start = _window_table(w, candidate, _ids(table))
@@ -267,12 +309,13 @@ def remove_repeats(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES, digest:
         first = np.flatnonzero(new)[number] if len(number) else number
         is_first = (owner_ids == owner_ids[first]) & (start == start[first])
         gone = at[(mine == 2) | ((mine == 1) & ~is_first)]
-        edge = np.zeros(len(w.numbers) + WINDOW + 1, np.int64)
+        edge = np.zeros(len(w.hashes) + WINDOW + 1, np.int64)
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + WINDOW, -1)
-        kept = np.cumsum(edge)[: len(w.numbers)] == 0
+        kept = np.cumsum(edge)[: len(w.hashes)] == 0
         out = []
-        for words, s in zip(w.words, w.starts.tolist()):
+        for raw, s in zip(B.texts(table.column("sizes")[0].as_py(), table.column("blob")[0].as_py()), w.starts.tolist()):
+            words = raw.split()
             mask = kept[s : s + len(words)]
             left = words if mask.all() else list(itertools.compress(words, mask.tolist()))
             text = b" ".join(left)
