@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sievelight.functions.scalars import unit_hash
+from sievelight.functions.shipping import ship
 from sievelight.operators.ranking import percentile_normalise
 
 
@@ -63,6 +64,7 @@ def balanced_queue(df: DataFrame, priority: str, n: int, quotas: Quotas) -> tupl
     Each step depends on all before it, so the walk is one task over narrow rows (id, priority, four keys, the vector
     if diversity is asked for); eligibility filters belong before it.
     """
+    ship(df.sparkSession)
     checks = [("group_id", quotas.group), ("observed_label", quotas.label), ("tissue", quotas.tissue), ("transition", quotas.transition)]
     diverse = quotas.min_cosine is not None
     narrow = df.select("sample_id", F.col(priority).alias("priority"), "group_id", F.col("observed_label").cast("string").alias("observed_label"), "tissue", "transition", *([F.col("features")] if diverse else []))
