@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.functions.shipping import ship
 from sievelight.llm.common import checkpoint
 
 BLOCK_BYTES = 16 << 20
@@ -50,6 +51,7 @@ def pack(docs: DataFrame, carried: Sequence[str] = ("doc_id",), block_bytes: int
     A block ends once it holds ``block_bytes`` of text or its partition ends, so it is as large as that and one text.  A
     null text counts as empty.  The checkpoint fixes which documents are in which block for all later passes.
     """
+    ship(docs.sparkSession)
     types = {c: docs.schema[c].dataType.simpleString() for c in carried}
     schema = f"block long, {', '.join(f'{c} array<{t}>' for c, t in types.items())}, sizes array<int>, blob binary"
 

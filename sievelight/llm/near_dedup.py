@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.functions.shipping import ship
 from sievelight.llm.common import checkpoint
 
 RADIUS = 3
@@ -52,6 +53,7 @@ def _tree(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarr
     From each fingerprint reached, all that aren't reached yet are compared with it; what is reached leaves the list.  So
     the links number less than the fingerprints, and a dense group takes one comparison for most of its members.
     """
+    fps = fps.view(np.uint64)  # bits of signed numbers would be counted without their sign
     left, right = [], []
     rest, todo = fps, []
     while len(rest) or todo:
@@ -78,7 +80,7 @@ def _links(radius: int):
 
         def out(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if left:
-                a, b = np.concatenate(left), np.concatenate(right)
+                a, b = (np.concatenate([x.view(np.int64) for x in side]) for side in (left, right))
                 a, b = np.minimum(a, b), np.maximum(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -104,7 +106,7 @@ def _links(radius: int):
             held_key, held = keys[-1], [fps[starts[-1] :].copy()]
             starts, sizes = starts[first:-1], sizes[first:-1]
             two = starts[sizes == 2]
-            near = np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius
+            near = np.bitwise_count((fps[two] ^ fps[two + 1]).view(np.uint64)) <= radius
             left.append(fps[two][near])
             right.append(fps[two + 1][near])
             for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
@@ -172,6 +174,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS)
     """
     if radius > 2 * SEGMENTS - 1:
         raise ValueError("two segments with one wildcard each find up to three differing bits")
+    ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     prints = docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), f"doc_id {id_type}, fp long")
     prints = checkpoint(prints)

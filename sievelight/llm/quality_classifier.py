@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from sievelight.functions.shipping import ship
+
 #: Features are hashed to this many places; the model is two vectors of this length, whatever the input.
 PLACES = 1 << 18
 CACHE_WORDS = 200_000
@@ -180,6 +182,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, s
     qualities than 0 and 1 are left out, and so are null ids and ids that ``docs`` lacks.  Equal rows count as often as
     they come.
     """
+    ship(docs.sparkSession)
     sample = labels.select("doc_id", "quality").where("quality in (0, 1) and doc_id is not null")
     sample = sample.orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id", "quality").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "text")
@@ -194,6 +197,7 @@ def score_quality(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> D
     One pass, row by row.  Null and empty texts get the score of the bias; equal texts get equal scores, whatever their
     other columns hold.  Columns named score or predicted are replaced; empty input gives empty output.
     """
+    ship(docs.sparkSession)
     base = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of 2^18 single-precision numbers
 

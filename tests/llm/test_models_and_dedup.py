@@ -60,6 +60,26 @@ def test_links_of_a_crowded_key_hold_its_components():
     left, right = near_dedup._tree(fps, 3)
     links = list(zip(np.concatenate(left).tolist(), np.concatenate(right).tolist()))
     assert len(links) == len(fps) - 5 and all((a ^ b).bit_count() <= 3 for a, b in links)
+    sign = np.array([5, 5 | -(1 << 63), 5 | -(1 << 63) | 3 << 40], np.int64)
+    assert sum(map(len, near_dedup._tree(sign, 3)[0])) == 2
+
+
+def test_links_that_differ_in_any_bits(spark):
+    """Every way to differ in up to three bits of a few positions, the sign's among them, links in the whole chain of keys."""
+    rng = np.random.default_rng(9)
+    rows, pairs = [], 200
+    for i in range(pairs):
+        a = int(rng.integers(0, 2**64, dtype=np.uint64))
+        flips = rng.choice([0, 1, 15, 31, 32, 33, 47, 62, 63], size=rng.integers(1, 4), replace=False)
+        b = a
+        for f in flips:
+            b ^= 1 << int(f)
+        rows += [(x - (1 << 64) if x >> 63 else x,) for x in (a, b)]
+    fps = spark.createDataFrame(rows, "fp long").distinct()
+    spread = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j"))
+    keyed = spread.select(near_dedup._keys(F.col("fp")).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    found = {(r["a"], r["b"]) for r in keyed.mapInArrow(near_dedup._links(3), "a long, b long").distinct().collect()}
+    assert all((min(x, y), max(x, y)) in found for (x,), (y,) in zip(rows[::2], rows[1::2]))
 
 
 def test_components(spark):
