@@ -85,7 +85,7 @@ def scan_licenses(
     the template).  Diagonals of a document and template that differ by ``gap`` at most, and whose places are within a
     template's length, are merged, so that a word put in or left out does not cut a match.  A merged group is verified
     by the share of the template's k-grams that it holds, each counted once: ``min_share`` for templates, all, on one
-    diagonal, for phrases.
+    diagonal, for phrases.  Of templates whose spans overlap only those with the greatest share are reported.
 
     documents has doc_id, n_words, n_base (places of phrases), first_word, last_word (least and greatest of them),
     base_labels, labels (comma-joined, sorted) and score (the greatest share verified, 1 for a phrase, 0 for nothing).
@@ -127,6 +127,14 @@ def scan_licenses(
     is_base = F.col("phrase") & (F.col("share") == 1)
     is_text = (F.col("template") >= n_phrases) & (F.col("share") >= min_share)
     spans = spans.where((F.col("template") < 0) | is_base | is_text)
+    # Of templates whose spans overlap, those with the greatest share stay: notices differ in a few words only.
+    spans = spans.withColumn("text", is_text)
+    by_place = W.partitionBy("doc_id", "text").orderBy("start", "end", "template").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.withColumn("apart", (F.col("start") >= F.max("end").over(by_place)).cast("int"))
+    up_to = W.partitionBy("doc_id", "text").orderBy("start", "end", "template").rowsBetween(W.unboundedPreceding, 0)
+    spans = spans.withColumn("cluster", F.sum(F.coalesce("apart", F.lit(0))).over(up_to))
+    best = F.max("share").over(W.partitionBy("doc_id", "text", "cluster"))
+    spans = spans.withColumn("best", best).where(~F.col("text") | (F.col("share") == F.col("best")))
     label = F.element_at(F.lit(labels), F.greatest(F.lit(1), F.col("template") + 1))
     spans = spans.withColumn("label", F.when(F.col("template") >= 0, label))
     join = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")

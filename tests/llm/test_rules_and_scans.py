@@ -113,6 +113,16 @@ def test_license_text_with_a_word_put_in(spark):
     assert licenses.op4_license_scans(frame(spark, [])).count() == 0
 
 
+def test_the_closest_notice_wins(spark):
+    rows = [
+        (1, "This work is licensed under the GNU General Public License, version 3.", "en", "s", 0),
+        (2, "x Licensed under CC BY-NC 4.0. y", "en", "s", 0),
+        (3, "Licensed under the GNU Lesser General Public License and released under the MIT License", "en", "s", 0),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in licenses.op4_license_scans(frame(spark, rows)).collect()}
+    assert got == {1: "gpl", 2: "cc-by-nc", 3: "gpl,lgpl,mit"}
+
+
 def test_mixing_targets_and_cuts(spark):
     rows = [(r.doc_id, r.size, r.source_size, r.target, r.taken) for r in mixing.op8_mixing(frame(spark)).collect()]
     sizes = Counter()
