@@ -107,7 +107,7 @@ def _descend(rows: list[np.ndarray], labels: np.ndarray, cost: float, rounds: in
     values = []
     for row in rows:
         norm = float(np.sqrt(np.square(ratios[row]).sum()))
-        values.append(ratios[row] / norm if norm > 0 else np.zeros(len(row)))
+        values.append((ratios[row] / norm if norm > 0 else np.zeros(len(row))).astype(np.float32))
     w, bias = np.zeros(PLACES), 0.0
     alpha = np.zeros(len(rows))
     rng = np.random.default_rng(seed)
@@ -175,7 +175,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int32()), pa.array(places, pa.binary())], ["quality", "places"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, salt: int = 9) -> Model:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000, salt: int = 9) -> Model:
     """Fit on a sample of at most ``max_rows`` of the rows of ``labels`` (doc_id, quality), the first by a hash of the id.
 
     Only the sample's features come to the driver: at most ``max_rows`` rows of at most 2^18 places each.  Null or other
