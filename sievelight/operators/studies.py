@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from sievelight.functions.scalars import unit_hash, valid_probabilities
 from sievelight.operators.models import compare_strategies
-from sievelight.operators.qc import require_empty
+from sievelight.operators.qc import paired_alignment, require_empty
 from sievelight.operators.ranking import holm
 from sievelight.operators.splits import restore_labels
 
@@ -65,12 +65,12 @@ def comparison_statuses(comparisons: DataFrame, cells: DataFrame, draws: DataFra
 
 
 def matched_operands(first: DataFrame, second: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Values of two methods side by side; raises unless both have the same keys, once each."""
+    """Values of two methods side by side, null where a method says nothing; raises unless both have the same keys, once each."""
     for side in (first, second):
         require_empty(side.groupBy(*keys).count().where("count > 1"), "repeated operands")
+    require_empty(paired_alignment(first, second, keys), "operands don't match")
     a, b = first.select(*keys, F.col(value).alias("first")), second.select(*keys, F.col(value).alias("second"))
-    both = a.join(b, list(keys), "full")
-    require_empty(both.where("first is null or second is null"), "operands don't match")
+    both = a.join(b, list(keys))
     return both.withColumn("difference", F.col("first") - F.col("second"))
 
 
