@@ -194,7 +194,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS)
 
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """One row of each component of ``docs``: the one with the least doc_id; any one, if several rows have that id."""
+    """The rows of ``docs`` whose doc_id is the least of its component, one for each id.
+
+    Ids must tell rows apart: of several rows with one id, or with none, one is kept, whatever their texts.  Where ids
+    repeat or are null use ``similar.drop_similar``, as the pipeline does.
+    """
     found = near_duplicates(docs, shingle=shingle, radius=radius)
     name = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit(""))
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name.alias("_name")).distinct()
