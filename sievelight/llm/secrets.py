@@ -90,7 +90,9 @@ def _least_p(codes: Column, size: Column) -> Column:
 
 def _candidates(t: Column, min_length: int) -> Column:
     """(start, end, class, p): tokens in an encoding that has digits, with their length class and p in parts of ``GRID``."""
-    pattern = rf"[A-Za-z0-9+/_=-]{{{min_length},}}"
+    # '=' only pads the end, so that a name and its value are two tokens; with its padding a token may have min_length.
+    letter, end = "[A-Za-z0-9+/_-]", "(?![A-Za-z0-9+/_=-])"
+    pattern = rf"{letter}{{{min_length},}}(?:={{1,2}}{end})?|{letter}{{{max(1, min_length - 2)},}}=={end}|{letter}{{{max(1, min_length - 1)},}}={end}"
 
     def judged(s: Column) -> Column:
         core = F.regexp_replace(s["m"], "=+$", "")

@@ -81,6 +81,23 @@ def test_random_tokens_are_found_and_others_are_not(spark):
     assert not any("random" in spans[60 + i] for i in range(len(plain)))
 
 
+def test_tokens_joined_to_their_names(spark):
+    rng = random.Random(14)
+    made = ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(40)) for _ in range(400)]
+    tokens = [t for t in made if len(re.findall("[0-9]", t)) > 1][:60]
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "https://host.org/get?a=1&sig={}&x=2", "k={}==", "KEY_OF_MORE_THAN_20_LETTERS={}", "{}"]
+    rows = [(i, f"é {forms[i % 5].format(t)} end", "en", "s", 0) for i, t in enumerate(tokens)]
+    rows += [(100, "short K8bZ2xQ9vL4mT7wR1p== end", "en", "s", 0)]  # 18 symbols, 20 with the padding
+    found = secrets.scan_secrets(frame(spark, rows)).collect()
+    random_ = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 3] for r in found}
+    for k in range(5):
+        of_form = [i for i in range(60) if i % 5 == k]
+        hits = [i for i in of_form if (tokens[i] + "==" * (k == 2)) in random_[i]]
+        assert len(hits) >= 0.75 * len(of_form), forms[k]
+    assert not any("=" in t.rstrip("=") for spans in random_.values() for t in spans)
+    assert random_[100] == ["K8bZ2xQ9vL4mT7wR1p=="]
+
+
 def test_redaction_and_edges(spark):
     out = {r["doc_id"]: r for r in secrets.redact(crowded(spark, ["spans"])).collect() if r["doc_id"] in (80, 81, 91)}
     assert "hunter2" not in out[91]["text"] and "deadbeef" not in out[91]["text"] and " é " in out[91]["text"]
