@@ -23,8 +23,9 @@ ENCODINGS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: p-values are kept as whole numbers of this many parts, so that a table of them is bounded.
-GRID = 10_000
+#: p-values are kept as their decimal logarithm in whole steps, this many to a factor of ten, so that a table of them is
+#: bounded and small ones stay apart; the least is 10**-300.
+GRID = 100
 
 
 def _found(t: Column, pattern: str) -> Column:
@@ -89,7 +90,7 @@ def _least_p(codes: Column, size: Column) -> Column:
 
 
 def _candidates(t: Column, min_length: int) -> Column:
-    """(start, end, class, p): tokens in an encoding that has digits, with their length class and p in parts of ``GRID``."""
+    """(start, end, class, p): tokens in an encoding that has digits, with their length class and log p in steps of ``GRID``."""
     # '=' only pads the end, so that a name and its value are two tokens; with its padding a token may have min_length.
     letter, end = "[A-Za-z0-9+/_-]", "(?![A-Za-z0-9+/_=-])"
     pattern = rf"{letter}{{{min_length},}}(?:={{1,2}}{end})?|{letter}{{{max(1, min_length - 2)},}}=={end}|{letter}{{{max(1, min_length - 1)},}}={end}"
@@ -104,7 +105,7 @@ def _candidates(t: Column, min_length: int) -> Column:
         def tested(k: Column) -> Column:
             alphabet = F.element_at(F.lit([a for _, a in ENCODINGS]), k + 1)
             codes = F.transform(F.sequence(F.lit(1), F.length(core)), lambda i: F.instr(alphabet, F.substring(core, i, F.lit(1))))
-            p = F.floor(_least_p(codes, F.length(alphabet)) * GRID).cast("int")
+            p = F.ceil(F.log10(F.greatest(_least_p(codes, F.length(alphabet)), F.lit(1e-300))) * GRID).cast("int")
             return F.when(k.isNotNull(), F.struct(s["start"].alias("start"), s["end"].alias("end"), F.floor(F.log2(F.length(core))).cast("int").alias("class"), p.alias("p")))
 
         return F.when(mixed, let(kind, tested))
@@ -137,8 +138,8 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", min_length: int = 20, l
     runs above and below the middle of the alphabet, and serial correlation; the least p-value counts, times three.
     Tokens are put in classes by the binary logarithm of the length, as short ones give the tests little to find.  In
     each class the Benjamini-Hochberg rule at ``level`` finds the tokens that are not random, over all documents; the
-    others are reported.  p-values count in parts of 1/10,000, so the table that the rule sorts has at most 10,001 rows a
-    class and one class for each doubling of the length.
+    others are reported.  p-values count in steps of their logarithm, so the table that the rule sorts has at most 30,001
+    rows a class and one class for each doubling of the length.
 
     The texts are scanned once, to a checkpoint, when the rows must be read twice; with ``keep_text`` false the text is
     left out of it.  Null and empty texts have no spans.  Rows are treated one by one, so repeated rows and null ids are
@@ -152,9 +153,9 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", min_length: int = 20, l
     up = W.partitionBy("class").orderBy("p")
     rank = F.sum("n").over(up.rowsBetween(W.unboundedPreceding, 0))
     everything = F.sum("n").over(W.partitionBy("class"))
-    # p counts as the upper end of its part, so that rounding rejects no token that the rule would keep.
-    steps = steps.withColumn("below", (F.col("p") + 1) / float(GRID) <= rank / everything * level)
-    cuts = steps.groupBy("class").agg(F.coalesce(F.max(F.when(F.col("below"), F.col("p"))), F.lit(-1)).alias("cut"))
+    # p counts as the upper end of its step, so that rounding rejects no token that the rule would keep.
+    steps = steps.withColumn("below", F.pow(F.lit(10.0), F.col("p") / float(GRID)) <= rank / everything * level)
+    cuts = steps.groupBy("class").agg(F.coalesce(F.max(F.when(F.col("below"), F.col("p"))), F.lit(-300 * GRID - 1)).alias("cut"))
     table = cuts.agg(F.map_from_entries(F.collect_list(F.struct("class", "cut"))).alias("_cuts"))  # 32 classes at most
     passed = F.filter("_more", lambda c: c["p"] > F.element_at(F.col("_cuts"), c["class"]))
     more = F.transform(passed, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))

@@ -98,6 +98,15 @@ def test_tokens_joined_to_their_names(spark):
     assert random_[100] == ["K8bZ2xQ9vL4mT7wR1p=="]
 
 
+def test_copies_of_one_random_token_hide_no_plain_token(spark):
+    rng = random.Random(2)
+    token = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(48))
+    rows = [(i, f"key {token} end", "en", "s", 0) for i in range(1500)]
+    rows.append((2000, "plain " + "ab12" * 12 + " end", "en", "s", 0))
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert all(3 in found[i] for i in range(1500)) and 3 not in found[2000]
+
+
 def test_redaction_and_edges(spark):
     out = {r["doc_id"]: r for r in secrets.redact(crowded(spark, ["spans"])).collect() if r["doc_id"] in (80, 81, 91)}
     assert "hunter2" not in out[91]["text"] and "deadbeef" not in out[91]["text"] and " é " in out[91]["text"]
