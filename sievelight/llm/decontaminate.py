@@ -88,19 +88,22 @@ def find_leaks(
     are verified by the exact similarity.
 
     Words are runs without ASCII white space, in lower case.  Null or empty texts have no words and match nothing, and
-    neither does an item without words; texts of fewer words than ``shingle`` are one shingle.  Equal rows, or rows
+    neither does an item without words; texts of fewer words than ``shingle`` are one shingle, and such an item is found
+    wherever a document holds it word by word.  Equal rows, or rows
     with equal ids, count as one document with several texts; a null id is an id.  Empty tables give an empty result.
     """
     items = benchmark.select("item_id", F.lower("text").alias("t")).withColumn("w", words(F.col("t")))
     items = items.select("item_id", F.size("w").alias("m"), shingle_hashes(F.col("w"), shingle).alias("s")).where("m > 0")
     kinds = items.select("m", F.posexplode("s").alias("o", "h"), F.col("s").alias("all"))
     kinds = kinds.select("m", "o", "h", F.get("all", F.col("o") - 1).alias("prev")).distinct()
-    few = benchmark.select(F.sum(F.size(words(F.col("text"))).cast("long"))).first()[0] or 0
+    m = F.size(words(F.col("text")))
+    few, lengths = benchmark.select(F.sum(m.cast("long")), F.collect_set(F.when(m.between(1, shingle - 1), m))).first()
+    few = few or 0
     if few <= broadcast_shingles:
         kinds = F.broadcast(kinds)
 
-    d = docs.select("doc_id", words(F.lower("text")).alias("w"))
-    d = d.select("doc_id", F.size("w").alias("n"), shingle_hashes(F.col("w"), shingle).alias("s"))
+    texts = docs.select("doc_id", words(F.lower("text")).alias("w"))
+    d = texts.select("doc_id", F.size("w").alias("n"), shingle_hashes(F.col("w"), shingle).alias("s"))
     grams = d.select("doc_id", "n", F.col("s"), F.posexplode("s").alias("p", "h"))
     hits = grams.join(kinds, "h")
     # A run begins where the shingle before is not the item's shingle before.
@@ -113,8 +116,8 @@ def find_leaks(
 
     index = items.withColumn("fp", simhash(F.col("s"))).select("item_id", "m", "s", F.col("fp").alias("item_fp"), F.explode(_variants(F.col("fp"))).alias("v"))
     index = index.select("item_id", "m", "item_fp", "s", "v.block", "v.value")
-    texts = windows.groupBy("m", "fp", "wid").agg(F.first("win").alias("win"))  # equal windows are compared once
-    probe = texts.select("m", "fp", "wid", "win", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BITS // BLOCK - 1)), lambda b: F.call_function("shiftrightunsigned", F.col("fp"), (b * BLOCK).cast("int")).bitwiseAND(F.lit(0xFF)).cast("int"))).alias("block", "value"))
+    distinct = windows.groupBy("m", "fp", "wid").agg(F.first("win").alias("win"))  # equal windows are compared once
+    probe = distinct.select("m", "fp", "wid", "win", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BITS // BLOCK - 1)), lambda b: F.call_function("shiftrightunsigned", F.col("fp"), (b * BLOCK).cast("int")).bitwiseAND(F.lit(0xFF)).cast("int"))).alias("block", "value"))
     near = probe.join(index, ["m", "block", "value"])
     bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int")
     near = near.withColumn("differing_bits", bits).where(F.col("differing_bits") <= RADIUS)
@@ -122,6 +125,15 @@ def find_leaks(
     shared = F.size(F.array_intersect(occurrences(F.col("win")), occurrences(F.col("s"))))
     near = near.withColumn("similarity", shared / (F.size("win") + F.size("s") - shared)).where(F.col("similarity") >= min_similarity)
     pairs = windows.drop("win").join(near.select("m", "fp", "wid", "item_id", "differing_bits", "similarity"), ["m", "fp", "wid"])
+    if lengths:  # shorter items are one shingle, which is in a longer text where the text's shingles of that length hold it
+        of_length = lambda k: F.when(F.size("w") > k, F.transform(shingle_hashes(F.col("w"), k), lambda h: F.struct(F.lit(k).alias("m"), h.alias("h"))))
+        own = [F.posexplode(of_length(k)).alias("start", "g") for k in sorted(lengths)]
+        short = items.where(F.col("m") < shingle).select("m", F.col("s")[0].alias("h"), "item_id").distinct()
+        short = F.broadcast(short) if few <= broadcast_shingles else short
+        for grams in own:
+            held = texts.select("doc_id", grams).select("doc_id", "start", "g.m", "g.h").join(short, ["m", "h"])
+            held = held.groupBy("doc_id", "m", "item_id").agg(F.min("start").alias("start"))
+            pairs = pairs.unionByName(held.withColumns({"differing_bits": F.lit(0), "similarity": F.lit(1.0)}), allowMissingColumns=True)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("at"), F.col("m"), F.col("differing_bits"))).alias("b")
     found = pairs.groupBy("doc_id", "item_id").agg(best)
     return found.select(

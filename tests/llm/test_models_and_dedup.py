@@ -242,6 +242,29 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(frame(spark, rows), benchmark.where("false")).count() == 0
 
 
+def test_short_items_inside_longer_documents(spark):
+    rng = __import__("random").Random(4)
+    rows = [
+        (1, prose(rng, 30) + " Four short Words here " + prose(rng, 9) + " four short words here", "en", "s", 0),
+        (2, "x word_one", "en", "s", 0),
+        (3, "four short words there", "en", "s", 0),
+        (4, "word_one", "en", "s", 0),
+        (None, "a b c d e f two parts", "en", "s", 0),
+        (5, None, None, None, None),
+    ]
+    benchmark = spark.createDataFrame([(10, "four short words here"), (11, "word_one"), (12, "two parts"), (13, "two parts"), (14, ITEM)], "item_id long, text string")
+    for broadcast in (2_000_000, 0):
+        got = decontaminate.find_leaks(frame(spark, rows), benchmark, broadcast_shingles=broadcast).collect()
+        assert {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_words"], r["similarity"]) for r in got} == {
+            (1, 10): (30, 4, 1.0),
+            (2, 11): (1, 1, 1.0),
+            (4, 11): (0, 1, 1.0),
+            (None, 12): (6, 2, 1.0),
+            (None, 13): (6, 2, 1.0),
+        }
+        assert len(got) == 5
+
+
 def test_leaks_against_brute_force(spark):
     """All windows by exact similarity: what the search finds is right, and it finds all but what the radius loses."""
     rng = __import__("random").Random(8)
