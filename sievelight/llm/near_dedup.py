@@ -131,8 +131,9 @@ def components(links: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     """(node, root): the least node that each node of the links (a, b) can reach, by alternating large and small stars.
 
     Each round links every node's greater neighbours, then its lesser ones, to the least neighbour.  Only minima are
-    aggregated, so a node with very many neighbours is no heavy group.  Rounds end when the links stay the same; a graph
-    that needs over ``max_rounds`` rounds, which grow with the logarithm of the nodes, is an error.
+    aggregated, in parts; the links of a node with very many neighbours meet its minimum in a join, which splits them as
+    a skewed key.  Rounds end when the links stay the same; a graph that needs over ``max_rounds`` rounds, which grow with
+    the logarithm of the nodes, is an error.
     """
 
     def star(e: DataFrame, small: bool) -> DataFrame:
@@ -193,18 +194,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS)
     return prints.join(checkpoint(table), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component, one for each id.
-
-    Ids must tell rows apart: of several rows with one id, or with none, one is kept, whatever their texts.  Where ids
-    repeat or are null use ``similar.drop_similar``, as the pipeline does.
-    """
-    found = near_duplicates(docs, shingle=shingle, radius=radius)
-    name = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit(""))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name.alias("_name")).distinct()
-    return docs.withColumn("_name", name).join(kept, "_name", "left_semi").dropDuplicates(["_name"]).drop("_name")
-
-
 def op10_near_dedup(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -114,20 +115,73 @@ def test_redaction_and_edges(spark):
     assert secrets.op6_secret_scans(frame(spark, [])).count() == 0
 
 
-def test_license_places(spark):
-    got = {r["doc_id"]: r for r in licenses.op4_license_scans(frame(spark)).collect()}
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+def license_words(text):
+    return re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def phrase_figures(doc_id, text):
     phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
-    for doc_id, text, *_ in documents():
-        if doc_id in (83, 85, None):  # several rows
-            continue
-        w = word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        places = sorted((i, k) for k, p in phrases.items() for i in range(len(w)) if w[i : i + len(p)] == p)
-        r = got[doc_id]
-        assert (r["n_words"], r["n_base"]) == (len(w), len(places))
-        assert (r["first_word"], r["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
-        assert r["base_labels"] == ",".join(sorted({k for _, k in places})) and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
-        assert 0 <= r["score"] <= 1
+    w = license_words(text)
+    places = sorted((i, k) for k, p in phrases.items() for i in range(len(w)) if w[i : i + len(p)] == p)
+    ends = (places[0][0], places[-1][0]) if places else (None, None)
+    return (doc_id, len(w), len(places), *ends, ",".join(sorted({k for _, k in places})))
+
+
+def test_license_places(spark):
+    rows = documents()
+    rows += [(1, "the MIT License here", "en", "s", 0)] * 2  # equal rows
+    rows += [(2, "a general public thing", "en", "s", 0), (2, "x y public license", "en", "s", 0)]  # one id, no place
+    rows += [(None, "mit license", "en", "s", 0), (None, "so mit license", "en", "s", 0)]
+    got = licenses.op4_license_scans(crowded(spark, ["row", "n", "template", "labels"], rows)).collect()
+    assert sorted((tuple(r)[:6] for r in got), key=key) == sorted((phrase_figures(*r[:2]) for r in rows), key=key)
+    for r in got:
+        assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+        assert r["doc_id"] != 2 or (r["labels"], r["score"]) == ("", 0.0)
+
+
+def template_spans(text, gap=2, k=2, min_share=0.7):
+    """Labels of the templates' spans, by the docstring."""
+    w, spans = license_words(text), []
+    for template, (label, body) in enumerate(licenses.TEMPLATES):
+        t = body.split()
+        drift = math.ceil((1 - min_share) * len(t))
+        votes = {}
+        for at in range(len(t) - k + 1):
+            for p in range(len(w) - k + 1):
+                if w[p : p + k] == t[at : at + k]:
+                    votes.setdefault(p - at, set()).add(at)
+        for first in votes:
+            reached = [first]
+            for d in sorted(x for x in votes if first < x <= first + drift):
+                if d - reached[-1] <= gap:
+                    reached.append(d)
+            share = len(set().union(*(votes[d] for d in reached))) / (len(t) - k + 1)
+            if share >= min_share:
+                start, end = min(d + min(votes[d]) for d in reached), max(d + max(votes[d]) + k for d in reached)
+                assert end - start <= len(t) + drift
+                spans.append((start, end, share, template, label))
+    worse = lambda x, o: o[0] < x[1] and o[1] > x[0] and (o[2] > x[2] or (o[2] == x[2] and o[3] == x[3] and o[:2] < x[:2]))
+    return sorted((x[4], x[0], x[1]) for x in spans if not any(worse(x, o) for o in spans))
+
+
+def test_license_templates_against_brute_force(spark):
+    rng, texts = random.Random(8), []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            t = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 3, 8])):
+                at = rng.randrange(len(t))
+                t = rng.choice([t[:at] + ["word"] + t[at:], t[:at] + t[at + 1 :], t[:at] + ["other"] + t[at + 1 :]])
+            parts += [*t, *["plain"] * rng.choice([0, 1, 5])]
+        texts.append(" ".join(parts))
+    texts.append(" ".join(["permission is hereby granted"] * 300))  # a chain of diagonals without the whole
+    _, spans = licenses.scan_licenses(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]))
+    got = {}
+    for r in spans.where("not is_phrase").collect():
+        got.setdefault(r["doc_id"], []).append((r["label"], r["start"], r["end"]))
+    expected = {i: x for i, t in enumerate(texts) if (x := template_spans(t))}
+    assert {i: sorted(x) for i, x in got.items()} == expected and len(expected) > 50
 
 
 def test_license_text_with_a_word_put_in(spark):
