@@ -6,41 +6,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sievelight.llm.common import checkpoint
+
 SPAN = 256
 
 
+def _contents(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``c1`` and ``c2``, two 64-bit hashes of role and text."""
+    return turns.select(
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        *[F.xxhash64(F.lit(i), F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias(f"c{i}") for i in (1, 2)],
+    )
+
+
 def _numbered(turns: DataFrame) -> DataFrame:
-    """Number each conversation's turns from 1 (``pos``), with running hashes of all turns up to it (``h1``, ``h2``).
+    """Each conversation's turns, numbered from 1 (``pos``), with running hashes of all turns up to it (``h1``, ``h2``).
 
-    Turns are first dealt out by their number, ``SPAN`` numbers to a part, so that also a conversation that holds most
-    rows is spread; the parts' totals are carried over by a running sum over one row a part.  The running hash is the
-    exclusive-or of the hashes of (position, role, text): two of 64 bits.
+    Returns conv_id, pos, c1, c2, h1 and h2; no text is shuffled.  The turns are dealt to ranges of (conversation, turn,
+    content, a random number), so that a conversation that holds most rows is spread, also where its turns' numbers or
+    its contents are all the same.  Numbers and hashes run inside a range; what the ranges before hold of a conversation
+    is carried over.  Only a conversation that crosses a range's end has anything to carry, so these tables have at most
+    a row for each range.  The running hash is the exclusive-or of the hashes of (position, content).
     """
-    part = F.floor(F.col("turn") / SPAN).cast("long")
-    t = turns.select("conv_id", "turn", "role", "text").withColumn("_part", part)
-    t = t.withColumn("_tie", F.xxhash64("role", "text"))
-    keys = ["conv_id", "_part"]
-    inside = W.partitionBy(*keys).orderBy("turn", "_tie", "role", "text")
-    t = t.withColumn("_rn", F.row_number().over(inside).cast("long"))
-
-    def carried(df: DataFrame, totals: DataFrame) -> DataFrame:
-        on = [df[k].eqNullSafe(totals[k]) for k in keys]
-        return df.join(totals, on).select(df["*"], *[totals[c] for c in totals.columns if c not in keys])
-
-    over_parts = W.partitionBy("conv_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    rows = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    rows = rows.withColumn("_skip", F.coalesce(F.sum("_c").over(over_parts), F.lit(0).cast("long"))).drop("_c")
-    t = carried(t, rows).withColumn("pos", F.col("_rn") + F.col("_skip"))
-    t = t.withColumns({f"_x{i}": F.xxhash64(F.lit(i), "pos", F.col("role").isNull(), "role", F.col("text").isNull(), "text") for i in (1, 2)})
-    running = inside.rowsBetween(W.unboundedPreceding, 0)
-    t = t.withColumns({f"_r{i}": F.bit_xor(f"_x{i}").over(running) for i in (1, 2)})
-    sums = t.groupBy(*keys).agg(*[F.bit_xor(f"_x{i}").alias(f"_t{i}") for i in (1, 2)])
-    zero = F.lit(0).cast("long")
-    sums = sums.select(*keys, *[F.coalesce(F.bit_xor(f"_t{i}").over(over_parts), zero).alias(f"_o{i}") for i in (1, 2)])
-    t = carried(t, sums)
-    return t.withColumns({f"h{i}": F.col(f"_r{i}").bitwiseXOR(F.col(f"_o{i}")) for i in (1, 2)}).select(
-        "conv_id", "pos", "role", "text", "h1", "h2"
-    )
+    t = _contents(turns).select("conv_id", "turn", "c1", "c2", F.rand(5).alias("_r"))
+    t = t.repartitionByRange("conv_id", "turn", "c1", "c2", "_r").drop("_r")
+    t = checkpoint(t.withColumn("_part", F.spark_partition_id()))
+    before = W.partitionBy("conv_id").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+
+    def carried(df: DataFrame, offsets: DataFrame) -> DataFrame:
+        offsets = F.broadcast(offsets.withColumnsRenamed({"conv_id": "_c", "_part": "_p"}))  # a row a range at most
+        return df.join(offsets, df["conv_id"].eqNullSafe(F.col("_c")) & (df["_part"] == F.col("_p")), "left").drop("_c", "_p")
+
+    rows = t.groupBy("conv_id", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    skips = rows.withColumn("_skip", F.sum("_n").over(before)).where("_skip > 0").drop("_n")
+    inside = W.partitionBy("conv_id", "_part").orderBy("turn", "c1", "c2")
+    t = carried(t, skips).withColumn("pos", F.row_number().over(inside) + F.coalesce("_skip", F.lit(0).cast("long")))
+    running = W.partitionBy("conv_id", "_part").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    t = t.withColumns({f"_x{i}": F.bit_xor(F.xxhash64(F.lit(i), "pos", "c1", "c2")).over(running) for i in (1, 2)})
+    t = checkpoint(t.select("conv_id", "_part", "pos", "c1", "c2", "_x1", "_x2"))
+    last = t.groupBy("conv_id", "_part").agg(F.max(F.struct("pos", "_x1", "_x2")).alias("_l"), F.min("pos").alias("_first"))
+    sums = last.select("conv_id", "_part", "_first", *[F.bit_xor(f"_l._x{i}").over(before).alias(f"_o{i}") for i in (1, 2)])
+    t = carried(t, sums.where("_first > 1").drop("_first"))
+    hashes = [F.col(f"_x{i}").bitwiseXOR(F.coalesce(f"_o{i}", F.lit(0).cast("long"))).alias(f"h{i}") for i in (1, 2)]
+    return t.select("conv_id", "pos", "c1", "c2", *hashes)
 
 
 def _render(role: Column, text: Column) -> Column:
@@ -54,23 +65,29 @@ def format_chats(turns: DataFrame, *, turns_per_row: int = SPAN) -> DataFrame:
     0, nearly always one part), with conv_id the least id of n_copies conversations that are equal turn by turn in role
     and text.  A conversation whose turns are the first turns of a longer one is left out.
 
+    Prefixes are compared by position and two running 64-bit hashes: a prefix that more conversations reach than end at
+    it is a proper one, and the conversations that equal one go by an anti-join.  Texts are fetched for what stays only,
+    each distinct turn once.
+
     The order of turns is that of ``turn``, null first; rows with equal numbers stand in the order of a hash of role and
     text, so that equal conversations get equal orders.  Null roles or texts count as values of their own in comparisons
     and are rendered as empty.  Rows with a null conv_id make one conversation.  Other columns are ignored; an empty
     table gives an empty result.
     """
     t = _numbered(turns)
+    prefix = ["n_turns", "h1", "h2"]
     ends = t.groupBy("conv_id").agg(F.max(F.struct("pos", "h1", "h2")).alias("e"))
-    ends = ends.select("conv_id", F.col("e.pos").alias("n_turns"), F.col("e.h1").alias("h1"), F.col("e.h2").alias("h2"))
-    kinds = ends.groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
-    whole = ends.select(F.col("conv_id").alias("_c"), F.col("n_turns").alias("_n"))
-    proper = t.join(whole, t["conv_id"].eqNullSafe(whole["_c"]) & (t["pos"] < whole["_n"]))
-    proper = proper.select(F.col("pos").alias("n_turns"), "h1", "h2").distinct()
-    maximal = kinds.join(proper, ["n_turns", "h1", "h2"], "left_anti").select(F.col("conv_id").alias("_c"), "n_turns", "n_copies")
-    kept = t.join(maximal, t["conv_id"].eqNullSafe(maximal["_c"]))
+    ends = checkpoint(ends.select("conv_id", F.col("e.pos").alias("n_turns"), F.col("e.h1").alias("h1"), F.col("e.h2").alias("h2")))
+    kinds = ends.groupBy(*prefix).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
+    reached = t.select(F.col("pos").alias("n_turns"), "h1", "h2", F.lit(1).alias("more"))
+    both = reached.unionByName(ends.select(*prefix, F.lit(-1).alias("more")))
+    proper = both.groupBy(*prefix).agg(F.sum("more").alias("more")).where("more > 0").select(*prefix)
+    maximal = kinds.join(proper, prefix, "left_anti").select(F.col("conv_id").alias("_c"), "n_turns", "n_copies")
+    kept = t.join(maximal, t["conv_id"].eqNullSafe(maximal["_c"])).select("conv_id", "pos", "c1", "c2", "n_turns", "n_copies")
+    spoken = _contents(turns).groupBy("c1", "c2").agg(F.first("role").alias("role"), F.first("text").alias("text"))
     part = F.floor((F.col("pos") - 1) / turns_per_row).cast("long").alias("part")
     pieces = F.array_sort(F.collect_list(F.struct("pos", _render(F.col("role"), F.col("text")).alias("piece"))))
-    rows = kept.groupBy("conv_id", part, "n_turns", "n_copies").agg(pieces.alias("_p"))
+    rows = kept.join(spoken, ["c1", "c2"]).groupBy("conv_id", part, "n_turns", "n_copies").agg(pieces.alias("_p"))
     return rows.withColumn("rendered", F.array_join(F.col("_p.piece"), "")).drop("_p")
 
 

@@ -57,12 +57,15 @@ def occurrences(hashes: Column) -> Column:
     return let(hashes, numbered)
 
 
-def _variants(fp: Column) -> Column:
-    """(block, value) of every value of every 8-bit block of ``fp`` that differs from its own in one bit at most."""
-    blocks = BITS // BLOCK
-    own = lambda b: F.expr(f"shiftrightunsigned(fp, {BLOCK * b})").bitwiseAND(F.lit(0xFF)).cast("int")
+def _blocks(fp: str) -> Column:
+    """The 8-bit blocks of the fingerprint in column ``fp``."""
+    return F.array(*[F.shiftrightunsigned(fp, BLOCK * b).bitwiseAND(F.lit(0xFF)).cast("int") for b in range(BITS // BLOCK)])
+
+
+def _variants(fp: str) -> Column:
+    """(block, value) of every value of every block of ``fp`` that differs from its own in one bit at most."""
     flips = [0, *[1 << i for i in range(BLOCK)]]
-    return F.array(*[F.struct(F.lit(b).alias("block"), own(b).bitwiseXOR(F.lit(x)).alias("value")) for b in range(blocks) for x in flips])
+    return F.array(*[F.struct(F.lit(b).alias("block"), _blocks(fp)[b].bitwiseXOR(F.lit(x)).alias("value")) for b in range(BITS // BLOCK) for x in flips])
 
 
 def find_leaks(
@@ -82,10 +85,11 @@ def find_leaks(
     Way: (1) a window that can reach the similarity holds shingles of an item, so windows are laid where a run of an
     item's shingles begins in the document, each in line with that run; a join of the documents' rolling shingle
     hashes with the items' finds them.  It is a broadcast join while the items have at most ``broadcast_shingles``
-    shingles in all, which is counted first, and a shuffled one beyond.  (2) Each window gets a 64-bit SimHash.
+    shingles in all, which is counted first, and a shuffled one of numbers alone beyond, after which the texts that were
+    hit are joined again.  (2) Each window gets a 64-bit SimHash.
     (3) The items' fingerprints are indexed by 8-bit blocks with one-bit variants and the windows' blocks probe them
-    among the items of their size: all fingerprints within ``RADIUS`` bits are found.  (4) Candidates within the radius
-    are verified by the exact similarity.
+    among the items of their size: all fingerprints within ``RADIUS`` bits are found.  Distinct fingerprints alone meet
+    there.  (4) Those within the radius fetch their shingles and are verified by the exact similarity.
 
     Words are runs without ASCII white space, in lower case.  Null or empty texts have no words and match nothing, and
     neither does an item without words; texts of fewer words than ``shingle`` are one shingle, and such an item is found
@@ -102,29 +106,37 @@ def find_leaks(
     if few <= broadcast_shingles:
         kinds = F.broadcast(kinds)
 
-    texts = docs.select("doc_id", words(F.lower("text")).alias("w"))
-    d = texts.select("doc_id", F.size("w").alias("n"), shingle_hashes(F.col("w"), shingle).alias("s"))
-    grams = d.select("doc_id", "n", F.col("s"), F.posexplode("s").alias("p", "h"))
-    hits = grams.join(kinds, "h")
+    # Rows with equal id and text are one text, so (doc_id, row) tells texts apart.
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), words(F.lower("text")).alias("w"))
+    d = texts.select("doc_id", "row", F.size("w").alias("n"), shingle_hashes(F.col("w"), shingle).alias("s"))
     # A run begins where the shingle before is not the item's shingle before.
-    begins = F.col("prev").isNull() | (F.col("p") == 0) | (F.get("s", F.col("p") - 1) != F.col("prev"))
+    begins = F.col("prev").isNull() | (F.col("p") == 0) | (F.col("before") != F.col("prev"))
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("o"), F.col("n") - F.col("m")))
-    length = F.greatest(F.lit(1), F.col("m") - (shingle - 1))
-    laid = hits.where(begins).select("doc_id", "m", start.alias("start"), F.slice("s", start + 1, length).alias("win"))
+    window = F.slice("s", F.col("start") + 1, F.greatest(F.lit(1), F.col("m") - (shingle - 1)))
+    if few <= broadcast_shingles:
+        hits = d.select("doc_id", "n", "s", F.posexplode("s").alias("p", "h")).join(kinds, "h").withColumn("before", F.get("s", F.col("p") - 1))
+        laid = hits.where(begins).select("doc_id", "m", "s", start.alias("start")).select("doc_id", "m", "start", window.alias("win"))
+    else:  # only numbers are dealt by shingle; the windows found fetch their text
+        pairs = F.zip_with(F.col("s"), F.concat(F.array(F.lit(None).cast("long")), F.col("s")), lambda h, b: F.struct(h.alias("h"), b.alias("before")))
+        slim = d.select("doc_id", "row", "n", F.posexplode(F.slice(pairs, 1, F.size("s"))).alias("p", "x")).where("x.h is not null")
+        hits = slim.select("doc_id", "row", "n", "p", "x.h", "x.before").join(kinds, "h")
+        found = hits.where(begins).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "m", start.alias("start")).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))
+        laid = d.join(found, same).select("doc_id", "m", "start", window.alias("win"))
     windows = laid.groupBy("doc_id", "m", "start", F.xxhash64("win").alias("wid")).agg(F.first("win").alias("win"))
     windows = checkpoint(windows.withColumn("fp", simhash(F.col("win"))))  # few beside the texts, and read twice
 
-    index = items.withColumn("fp", simhash(F.col("s"))).select("item_id", "m", "s", F.col("fp").alias("item_fp"), F.explode(_variants(F.col("fp"))).alias("v"))
-    index = index.select("item_id", "m", "item_fp", "s", "v.block", "v.value")
+    # Fingerprints alone meet in the index, equal ones once; the texts of the few that are near are fetched afterwards.
+    items = items.withColumn("item_fp", simhash(F.col("s")))
+    index = items.select("m", "item_fp").distinct().select("m", "item_fp", F.explode(_variants("item_fp")).alias("v")).select("m", "item_fp", "v.block", "v.value")
+    probe = windows.select("m", "fp").distinct().select("m", "fp", F.posexplode(_blocks("fp")).alias("block", "value"))
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int").alias("differing_bits")
+    near = probe.join(index, ["m", "block", "value"]).select("m", "fp", "item_fp", bits).where(F.col("differing_bits") <= RADIUS).distinct()
     distinct = windows.groupBy("m", "fp", "wid").agg(F.first("win").alias("win"))  # equal windows are compared once
-    probe = distinct.select("m", "fp", "wid", "win", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BITS // BLOCK - 1)), lambda b: F.call_function("shiftrightunsigned", F.col("fp"), (b * BLOCK).cast("int")).bitwiseAND(F.lit(0xFF)).cast("int"))).alias("block", "value"))
-    near = probe.join(index, ["m", "block", "value"])
-    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int")
-    near = near.withColumn("differing_bits", bits).where(F.col("differing_bits") <= RADIUS)
-    near = near.groupBy("m", "fp", "wid", "item_id").agg(*[F.first(c).alias(c) for c in ("win", "s", "differing_bits")])
+    both = near.join(distinct, ["m", "fp"]).join(items.select("m", "item_fp", "item_id", "s"), ["m", "item_fp"])
     shared = F.size(F.array_intersect(occurrences(F.col("win")), occurrences(F.col("s"))))
-    near = near.withColumn("similarity", shared / (F.size("win") + F.size("s") - shared)).where(F.col("similarity") >= min_similarity)
-    pairs = windows.drop("win").join(near.select("m", "fp", "wid", "item_id", "differing_bits", "similarity"), ["m", "fp", "wid"])
+    both = both.withColumn("similarity", shared / (F.size("win") + F.size("s") - shared)).where(F.col("similarity") >= min_similarity)
+    pairs = windows.drop("win").join(both.select("m", "fp", "wid", "item_id", "differing_bits", "similarity"), ["m", "fp", "wid"])
     if lengths:  # shorter items are one shingle, which is in a longer text where the text's shingles of that length hold it
         of_length = lambda k: F.when(F.size("w") > k, F.transform(shingle_hashes(F.col("w"), k), lambda h: F.struct(F.lit(k).alias("m"), h.alias("h"))))
         own = [F.posexplode(of_length(k)).alias("start", "g") for k in sorted(lengths)]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sievelight.functions.shipping import ship
+from sievelight.llm.common import WORD
 
 #: Features are hashed to this many places; the model is two vectors of this length, whatever the input.
 PLACES = 1 << 18
@@ -175,18 +176,26 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int32()), pa.array(places, pa.binary())], ["quality", "places"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000, salt: int = 9) -> Model:
-    """Fit on a sample of at most ``max_rows`` of the rows of ``labels`` (doc_id, quality), the first by a hash of the id.
+def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000, max_bytes: int = 128 << 20, salt: int = 9) -> Model:
+    """Fit on a sample of at most ``max_rows`` labelled rows of ``docs``, whose features take ``max_bytes`` at most.
 
-    Only the sample's features come to the driver: at most ``max_rows`` rows of at most 2^18 places each.  Null or other
-    qualities than 0 and 1 are left out, and so are null ids and ids that ``docs`` lacks.  Equal rows count as often as
-    they come.
+    The sample's ids are the first ``max_rows`` of ``labels`` (doc_id, quality) by a hash of the id, and its rows the
+    first of theirs by a hash of id, text and label, up to the row that would pass a bound.  Equal rows count once, so
+    neither repeated ids nor repeated rows make it larger.  Only the sample's features come to the driver.  Null or other
+    qualities than 0 and 1 are left out, and so are null ids and ids that ``docs`` lacks.
     """
     ship(docs.sparkSession)
-    sample = labels.select("doc_id", "quality").where("quality in (0, 1) and doc_id is not null")
+    sample = labels.select("doc_id", "quality").where("quality in (0, 1) and doc_id is not null").distinct()
     sample = sample.orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id", "quality").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "text")
-    found = rows.mapInArrow(_featurise, "quality int, places binary").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.select("quality", "text", F.xxhash64(F.lit(salt), "doc_id", "quality", "text").alias("u"))
+    # Five features a word and one more at most, each a place of four bytes.
+    size = 4 * F.least(F.lit(PLACES), 5 * F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) + 1)
+    order = rows.select("u", size.alias("size")).groupBy("u").agg(F.max("size").alias("size")).orderBy("u").limit(max_rows).collect()
+    held = np.cumsum([r["size"] for r in order]) <= max_bytes if order else np.zeros(0, bool)
+    last = order[int(held.sum()) - 1]["u"] if held.any() else None
+    taken = rows.where(F.col("u") <= F.lit(last).cast("long")).groupBy("u").agg(F.first("quality").alias("quality"), F.first("text").alias("text"))
+    found = taken.select("quality", "text").mapInArrow(_featurise, "quality int, places binary").collect()
     found.sort(key=lambda r: (r["places"], r["quality"]))  # reruns agree
     return fit_rows([np.frombuffer(r["places"], np.int32) for r in found], np.array([r["quality"] for r in found], np.int64))
 
@@ -212,11 +221,12 @@ def score_quality(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> D
 
 
 def fold(modulus: int) -> Column:
-    """Remainder that deals documents to folds, by their id alone."""
+    """Remainder that deals documents to folds, by their id alone; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
 def op9_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of all rows.  A row with a null id is in no fold, so it is not held out, and no label is its own."""
     model = fit_quality(docs, labels.where(fold(5) != 0))
     scored = score_quality(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
