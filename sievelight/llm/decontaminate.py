@@ -57,15 +57,14 @@ def occurrences(hashes: Column) -> Column:
     return let(hashes, numbered)
 
 
-def _blocks(fp: str) -> Column:
-    """The 8-bit blocks of the fingerprint in column ``fp``."""
-    return F.array(*[F.shiftrightunsigned(fp, BLOCK * b).bitwiseAND(F.lit(0xFF)).cast("int") for b in range(BITS // BLOCK)])
+def _block(fp: str, b: int) -> Column:
+    return F.shiftrightunsigned(fp, BLOCK * b).bitwiseAND(F.lit(0xFF)).cast("int")
 
 
-def _variants(fp: str) -> Column:
-    """(block, value) of every value of every block of ``fp`` that differs from its own in one bit at most."""
-    flips = [0, *[1 << i for i in range(BLOCK)]]
-    return F.array(*[F.struct(F.lit(b).alias("block"), _blocks(fp)[b].bitwiseXOR(F.lit(x)).alias("value")) for b in range(BITS // BLOCK) for x in flips])
+def _variants(fp: str, flips: list[int]) -> Column:
+    """(block, value) of every block of the fingerprint in column ``fp``, as it is changed by each of ``flips``."""
+    changed = lambda b: F.transform(F.lit(flips), lambda x: F.struct(F.lit(b).alias("block"), _block(fp, b).bitwiseXOR(x).alias("value")))
+    return F.concat(*[changed(b) for b in range(BITS // BLOCK)])
 
 
 def find_leaks(
@@ -127,9 +126,10 @@ def find_leaks(
     windows = checkpoint(windows.withColumn("fp", simhash(F.col("win"))))  # few beside the texts, and read twice
 
     # Fingerprints alone meet in the index, equal ones once; the texts of the few that are near are fetched afterwards.
-    items = items.withColumn("item_fp", simhash(F.col("s")))
-    index = items.select("m", "item_fp").distinct().select("m", "item_fp", F.explode(_variants("item_fp")).alias("v")).select("m", "item_fp", "v.block", "v.value")
-    probe = windows.select("m", "fp").distinct().select("m", "fp", F.posexplode(_blocks("fp")).alias("block", "value"))
+    items = checkpoint(items.withColumn("item_fp", simhash(F.col("s"))))
+    index = items.select("m", "item_fp").distinct().select("m", "item_fp", F.explode(_variants("item_fp", [0, *[1 << i for i in range(BLOCK)]])).alias("v"))
+    probe = windows.select("m", "fp").distinct().select("m", "fp", F.explode(_variants("fp", [0])).alias("v"))
+    index, probe = (x.select("m", x.columns[1], "v.block", "v.value") for x in (index, probe))
     bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int").alias("differing_bits")
     near = probe.join(index, ["m", "block", "value"]).select("m", "fp", "item_fp", bits).where(F.col("differing_bits") <= RADIUS).distinct()
     distinct = windows.groupBy("m", "fp", "wid").agg(F.first("win").alias("win"))  # equal windows are compared once

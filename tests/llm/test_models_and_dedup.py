@@ -298,3 +298,74 @@ def test_blocks_round_trip():
         for delta in (False, True):
             assert (blocks.get(blocks.put(values, delta), np.int64, delta) == values).all()
     assert blocks.cuts(np.array([0, 1 << 62, 3 << 62], np.uint64), 4) == [0, 1, 2, 2, 3]
+
+
+def test_a_large_benchmark_finds_the_same_by_both_ways(spark):
+    """10,000 items and a text of 20,000 words: broadcast and shuffled shingles give the same rows, and few pairs of
+    fingerprints are compared."""
+    rng = __import__("random").Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(15, 40)))) for i in range(10_000)]
+    long = [rng.choice(words) for _ in range(20_000)]
+    for k in range(40):
+        item = items[k * 200][1].split()
+        if k % 2:
+            item[0] = "changed"
+        long[k * 450 : k * 450] = item
+    rows = [(1, " ".join(long), "en", "s", 0), (2, items[77][1], "en", "s", 0), (None, "x " + items[78][1].upper(), "en", "s", 0), (None, items[79][1], "en", "s", 0)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    got = [sorted(map(tuple, decontaminate.find_leaks(frame(spark, rows), benchmark, broadcast_shingles=b).collect()), key=key) for b in (2_000_000, 0)]
+    assert got[0] == got[1] and len(got[0]) >= 40 + 3 - 2
+    assert {(r[0], r[1]) for r in got[0]} >= {(1, k * 200) for k in range(0, 40, 2)} | {(2, 77), (None, 78), (None, 79)}
+
+
+def test_descent_reaches_the_optimum_of_an_exact_solver():
+    """Hinge loss over scaled indicators: the dual by projected gradient in many small steps, on a small problem."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 8)).astype(np.int32) for _ in range(60)]
+    labels = np.array([int(r.min() < 3) for r in rows])
+    cost = 0.5
+    model = quality_classifier._descend(rows, labels, cost, 3000, 1)
+    yes, no = np.ones(quality_classifier.PLACES), np.ones(quality_classifier.PLACES)
+    for r, y in zip(rows, labels):
+        (yes if y else no)[r] += 1
+    ratio = np.log(yes / yes.sum()) - np.log(no / no.sum())
+    ratio[(yes == 1) & (no == 1)] = 0
+    x = np.zeros((60, 41))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+    x[:, 40] = 1.0
+    sign = np.where(labels == 1, 1.0, -1.0)
+    top = cost * 60 / (2 * np.where(labels == 1, (labels == 1).sum(), (labels == 0).sum()))
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T
+    alpha = np.zeros(60)
+    for _ in range(200_000):
+        alpha = np.clip(alpha - 0.9 / np.linalg.norm(q, 2) * (q @ alpha - 1), 0, top)
+    w = (alpha * sign) @ x
+    got = np.r_[np.where(ratio[:40] != 0, model.weights[:40] / np.where(ratio[:40] != 0, ratio[:40], 1), 0), model.bias]
+    loss = lambda v: 0.5 * v @ v + (top * np.maximum(0, 1 - sign * (x @ v))).sum()
+    assert np.allclose(got, w, atol=2e-2) and loss(got) <= loss(w) * 1.001
+
+
+def test_the_sample_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    rows = [(1, f"text number {i} of one id", "en", "s", 0) for i in range(300)] + [(2, "the same text", "en", "s", 0)] * 300
+    rows += [(i, "word " * 400 + str(i), "en", "s", 0) for i in range(3, 40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(quality_classifier, "fit_rows", lambda r, y, **k: seen.update(rows=r))
+    quality_classifier.fit_quality(frame(spark, rows), labels, max_rows=25)
+    assert len(seen["rows"]) == 25
+    quality_classifier.fit_quality(frame(spark, rows), labels, max_rows=500, max_bytes=20_000)
+    assert 0 < sum(r.nbytes for r in seen["rows"]) <= 20_000
+    quality_classifier.fit_quality(frame(spark, rows), labels.where("doc_id = 2"), max_rows=500)
+    assert len(seen["rows"]) == 1
+    quality_classifier.fit_quality(frame(spark, rows), labels, max_bytes=1)
+    assert not seen["rows"]
+
+
+def test_scores_of_very_long_texts_and_null_ids(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(i, ("good words here " if i % 2 else "### $$$ ") * 9 + str(i), "en", "s", 0) for i in range(40)]
+    rows += [(100, "good words here " * 60_000, "en", "s", 0), (None, "x" * 500_000, "en", "s", 0), (None, None, None, None, None)]
+    got = quality_classifier.op9_quality_classifier(frame(spark, rows), labels).collect()
+    assert len(got) == len(rows) and all(r["held_out"] is not None and 0 <= r["score"] <= 1 for r in got)
