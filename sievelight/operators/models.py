@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from sievelight.functions.scalars import class_list, negative_log_likelihood, temperature_transform
 from sievelight.operators.metrics import classification_summary, confusion, expected_calibration_error, macro_metrics
 from sievelight.operators.qc import require_empty
+from sievelight.operators.ranking import running
 from sievelight.operators.splits import spanning_groups, standardisation
 
 
@@ -140,12 +141,16 @@ def ridge_predict(weights: np.ndarray, features: str = "features") -> Column:
 
 
 def conformal_radius(residuals: DataFrame, residual: str, alpha: float) -> float:
-    """The residual at level min(1, ceil((m + 1)(1 - alpha)) / m), the higher of two neighbours."""
+    """The residual at level min(1, ceil((m + 1)(1 - alpha)) / m), the higher of two neighbours.
+
+    Ranks are counted in ranges, so no task sorts all residuals.
+    """
     m = residuals.count()
     level = min(1.0, np.ceil((m + 1) * (1 - alpha)) / m)
     at = int(np.ceil(level * (m - 1) - 1e-12)) + 1
-    row = residuals.orderBy(F.col(residual).asc()).limit(at).agg(F.max(residual)).first()
-    return float(row[0])
+    counts = residuals.groupBy(F.col(residual).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    reached = running(counts, {"_upto": F.col("_c")}, "_x", descending=False)
+    return float(reached.where(F.col("_upto") >= at).agg(F.min("_x")).first()[0])
 
 
 def cross_fitted_utility(df: DataFrame, target: str, *, alpha: float = 0.1, l2: float = 1.0, outer: str = "fold_id", inner_splits: int = 3, group: str = "group_id") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sievelight.operators.ranking import running
+
 
 def mask_qc(pixels: DataFrame, class_channels: Sequence[int], background: int) -> DataFrame:
     """Figures of each patch of a long pixel table (fold, patch_id, y, x, channel, value).
@@ -94,8 +96,8 @@ def colour_statistics(pixels: DataFrame, by: Sequence[str], channels: Sequence[s
 def interleave(df: DataFrame, category: str, fold: str, index: str) -> DataFrame:
     """Order rows round robin: the first of every category and fold, then the second, and so on; ``position`` from 0."""
     place = F.row_number().over(W.partitionBy(category, fold).orderBy(index))
-    df = df.withColumn("_offset", place)
-    return df.withColumn("position", F.row_number().over(W.orderBy("_offset", category, fold, index)) - 1).drop("_offset")
+    placed = running(df.withColumn("_offset", place), {"position": F.lit(1)}, "_offset", then=[category, fold, index], descending=False)
+    return placed.withColumn("position", (F.col("position") - 1).cast("int")).drop("_offset")
 
 
 def balanced_subset(df: DataFrame, fold: str, order: str, total: int) -> DataFrame:

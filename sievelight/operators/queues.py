@@ -120,11 +120,20 @@ def utility_priority(df: DataFrame, risk: str, lower: str) -> DataFrame:
     return both.withColumn("priority", F.col("_a") * F.greatest(F.col(lower), F.lit(0.0))).drop("_a")
 
 
+def _same_stratum(left: DataFrame, right: DataFrame, strata: Sequence[str], how: str) -> DataFrame:
+    """``left`` with the other columns of ``right`` by equal strata; nulls are a stratum."""
+    right = right.withColumnsRenamed({c: f"_s_{c}" for c in strata})
+    on = F.lit(True)
+    for c in strata:
+        on = on & left[c].eqNullSafe(F.col(f"_s_{c}"))
+    return left.join(right, on, how).drop(*[f"_s_{c}" for c in strata])
+
+
 def comparator_shortfall(top: DataFrame, eligible: DataFrame, strata: Sequence[str], row_id: str = "sample_id") -> DataFrame:
     """Rows that each stratum of the selection needs and has for a disjoint matched comparator."""
     need = top.groupBy(*strata).agg(F.count(F.lit(1)).alias("needed"))
     pool = eligible.join(top.select(row_id), row_id, "left_anti").groupBy(*strata).agg(F.count(F.lit(1)).alias("available"))
-    joined = need.join(pool, list(strata), "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
+    joined = _same_stratum(need, pool, strata, "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
     return joined.withColumn("shortfall", F.greatest(F.lit(0).cast("long"), F.col("needed") - F.col("available")))
 
 
@@ -134,7 +143,7 @@ def matched_random(top: DataFrame, eligible: DataFrame, strata: Sequence[str], s
     ok = short.agg(F.coalesce(F.max("shortfall"), F.lit(0)).alias("_worst"))
     pool = eligible.join(top.select(row_id), row_id, "left_anti").withColumn("_u", unit_hash(seed, row_id))
     ranked = pool.withColumn("_r", F.row_number().over(W.partitionBy(*strata).orderBy("_u", row_id)))
-    picked = ranked.join(short.select(*strata, "needed"), list(strata)).where(F.col("_r") <= F.col("needed"))
+    picked = _same_stratum(ranked, short.select(*strata, "needed"), strata, "inner").where(F.col("_r") <= F.col("needed"))
     return picked.crossJoin(F.broadcast(ok)).where(F.col("_worst") == 0).drop("_u", "_r", "needed", "_worst")
 
 

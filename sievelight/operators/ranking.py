@@ -200,8 +200,9 @@ def random_baseline(df: DataFrame, event: Column, row_id: str, budget: float, re
     runs = df.sparkSession.range(repeats).select(F.col("id").cast("int").alias("run"))
     rows = df.select(F.col(row_id).alias("_id"), event.cast("long").alias("_event")).crossJoin(F.broadcast(runs))
     rows = rows.withColumn("_u", unit_hash(seed, "run", "_id"))
-    order = W.partitionBy("run").orderBy("_u", "_id")
-    picked = rows.withColumn("_r", F.row_number().over(order)).crossJoin(F.broadcast(totals))
+    # The runs stand one after another in one order, which is cut into ranges, so no task holds a whole run.
+    placed = running(rows.withColumn("_o", F.col("run") + F.col("_u")), {"_g": F.lit(1).cast("long")}, "_o", then=["_id"], descending=False)
+    picked = placed.crossJoin(F.broadcast(totals)).withColumn("_r", F.col("_g") - F.col("run") * F.col("n_rows"))
     picked = picked.where(F.col("_r") <= budget_count(F.col("n_rows"), budget))
     per_run = picked.groupBy("run", "n_rows", "n_events").agg(F.avg("_event").alias("precision"), (F.sum("_event") / F.nullif(F.first("n_events"), F.lit(0))).alias("recall"))
     q = lambda c, p: F.percentile(c, F.lit(p))

@@ -6,12 +6,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from sievelight.functions.scalars import unit_hash, valid_probabilities
 from sievelight.operators.models import compare_strategies
 from sievelight.operators.qc import paired_alignment, require_empty
-from sievelight.operators.ranking import holm
+from sievelight.operators.ranking import holm, running
 from sievelight.operators.splits import restore_labels
 
 
@@ -95,8 +94,8 @@ def downstream_restoration(train: DataFrame, test: DataFrame, guided: Column, n_
     t = restore_labels(train, guided).withColumnRenamed("restored_label", "guided").withColumn("one", F.lit(1.0))
     policies = {"reference": ("pre_corruption_label", "one"), "corrupted": ("observed_label", "one"), "guided": ("guided", "one")}
     for r in range(repeats):
-        order = W.orderBy(unit_hash(f"{seed}-{r}", "sample_id"), "sample_id")  # as many rows as labels are reviewed among
-        chosen = t.select("sample_id", (F.row_number().over(order) <= n_reviewed).alias(f"_r{r}"))
+        placed = running(t.select("sample_id", unit_hash(f"{seed}-{r}", "sample_id").alias("_u")), {"_k": F.lit(1)}, "_u", then=["sample_id"], descending=False)
+        chosen = placed.select("sample_id", (F.col("_k") <= n_reviewed).alias(f"_r{r}"))
         t = restore_labels(t.join(chosen, "sample_id"), F.col(f"_r{r}")).withColumnRenamed("restored_label", f"random_{r}").drop(f"_r{r}")
         policies[f"random_{r}"] = (f"random_{r}", "one")
     return compare_strategies(t, test, policies, "pre_corruption_label", classes, l2=l2)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelight.functions import scalars as fn
-from sievelight.operators import bootstrap, duplicates, images, metrics, models, neighbours, qc, queues, ranking, review, splits, studies
+from sievelight.operators import bootstrap, duplicates, images, metrics, models, neighbours, qc, queues, ranking, review, splits, studies, validation
 from sievelight.plans import oracle
 from sievelight.sources import sinks
 from sievelight.sources import tables as src
@@ -831,14 +831,21 @@ def ridge_conformal_utility(spark, d):
 
 @query
 def strategy_comparison(spark, d):
+    """Half of the wrong labels are reviewed: a quarter of these is left to two classes, the others are put right."""
     s = splits.corrupt_symmetric(src.samples(spark, d), 0.2, C, 21)
-    train, test = s.where("fold_id <> 0"), s.where("fold_id = 0")
-    chosen = F.col("is_corrupted") & (fn.unit_hash("reviewed", "sample_id") < 0.5)
-    policies = {}
-    for p in ("unchanged", "controlled_restore", "flag_exclude"):
-        train = queues.interventions(train, chosen, p).withColumnsRenamed({"training_label": f"{p}_label", "training_weight": f"{p}_weight"})
-        policies[p] = (f"{p}_label", f"{p}_weight")
-    return models.compare_strategies(train, test, policies, "pre_corruption_label", C, l2=1e-2)
+    seen = F.col("is_corrupted") & (fn.unit_hash("reviewed", "sample_id") < 0.5)
+    unsure = seen & (fn.unit_hash("unsure", "sample_id") < 0.25)
+    halves = F.transform(F.lit(list(C)), lambda c: (((c == F.col("observed_label")).cast("int") + (c == F.col("pre_corruption_label")).cast("int")) / 2.0))
+    s = s.withColumns(
+        {
+            "hard_label": F.when(seen & ~unsure, F.col("pre_corruption_label")).otherwise(F.col("observed_label")),
+            "weight": F.when(unsure, 0.5).otherwise(1.0),
+            "soft_label": F.when(unsure, halves),
+            "truth": F.col("pre_corruption_label"),
+        }
+    )
+    draws = lambda p: bootstrap.group_draws(p, "group_id", 40, 45)
+    return validation.compare_review_strategies(s.where("fold_id <> 0"), s.where("fold_id = 0"), C, draws)
 
 
 @query
@@ -850,11 +857,82 @@ def downstream_restoration(spark, d):
 
 @query
 def policy_search(spark, d):
-    c = spark.range(40).select(F.sha2(F.col("id").cast("string"), 256).alias("candidate_sha"), F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("risk_method"), (F.col("id") % 2).alias("budget"), (F.col("id") % 5).alias("complexity"))
+    s = splits.corrupt_symmetric(src.samples(spark, d), 0.2, C, 21)
+    return validation.policy_search(s.where("fold_id in (1, 2)"), s.where("fold_id = 0"), C, [0.1, 0.2], (3, 1))
+
+
+@query
+def finalist_selection(spark, d):
+    """The best of each risk method and budget first, proved to be the expected ones, and the winner with and without a family."""
+    c = spark.read.parquet(f"{d}/part.parquet").select(
+        F.sha2(F.col("p_partkey").cast("string"), 256).alias("candidate_sha"), F.col("p_brand").alias("risk_method"), (F.col("p_size") % 2).alias("budget"), (F.col("p_size") % 5).alias("complexity")
+    )
     c = c.withColumn("objective", F.round(fn.unit_hash("objective", "candidate_sha"), 3)).withColumn("effect", F.round(fn.unit_hash("effect", "candidate_sha"), 3))
     finalists = models.pick_finalists(c, 1, 8)
-    expected = [r[0] for r in finalists.select("candidate_sha").collect()]
-    return studies.exact_finalists(finalists, expected, models.pick_winner, "m0")
+    expected = [r[0] for r in finalists.select("candidate_sha").collect()]  # eight
+    return studies.exact_finalists(finalists, expected, models.pick_winner, "Brand#11").select("pool", "candidate_sha", "risk_method", "budget", "objective")
+
+
+def _reference(spark, d):
+    """Samples with some labels wrong and the right ones beside them."""
+    s = splits.corrupt_symmetric(src.samples(spark, d), 0.2, C, 21)
+    return s.withColumn("reference_label", F.col("pre_corruption_label"))
+
+
+@query
+def nested_downstream(spark, d):
+    out = validation.nested_downstream(_reference(spark, d).where("fold_id < 2"), C, budget=0.2).cache()
+    draws = bootstrap.group_draws(out, "group_id", 40, 12)
+    return validation.downstream_summary(out.where("treatment <> 'reference'"), draws, "group_id", C)[0]
+
+
+@query
+def downstream_summary(spark, d):
+    """Three treatments of hashed predictions over two seeds, the random one twice."""
+    p = predictions(spark, d).select("sample_id", "group_id", F.col("observed_label").alias("truth"), "predicted")
+    cells = F.array(*[F.struct(F.lit(t).alias("treatment"), F.lit(k).alias("seed"), F.lit(r).alias("repeat")) for t, n in (("candidate", 1), ("unchanged", 1), ("random", 2)) for k in range(2) for r in range(n)])
+    p = p.withColumn("c", F.explode(cells)).select("*", "c.*").drop("c")
+    share = F.when(F.col("treatment") == "candidate", 0.9).otherwise(0.6)
+    right = fn.unit_hash("treated", "sample_id", "treatment", "seed", "repeat") < share
+    p = p.withColumn("predicted", F.when(right, F.col("truth")).otherwise(F.col("predicted")))
+    comparisons, classes = validation.downstream_summary(p, bootstrap.group_draws(p, "group_id", 50, 13), "group_id", C)
+    rows = comparisons.select(F.col("comparison").alias("what"), F.lit(None).cast("int").alias("class"), "difference", "low", "high", "valid_draws")
+    return rows.unionByName(classes.select(F.lit("recall").alias("what"), "class", F.col("recall_difference").alias("difference"), "low", "high", "valid_draws"))
+
+
+@query
+def ranking_validation(spark, d):
+    e = src.events(spark, d)
+    return validation.ranking_validation(e, F.col("event"), "score", "doc_id", "grp", bootstrap.group_draws(e, "grp", 100, 14), budget=0.1, repeats=10)
+
+
+@query
+def controlled_study(spark, d):
+    s = src.samples(spark, d).where("fold_id < 2")
+    return validation.controlled_study(s, C, [("symmetric", 0.1, 5), ("instance", 0.1, 5)], ["self_confidence", "nll"], [0.1, 0.2])
+
+
+@query
+def audit_scores(spark, d):
+    s = src.probs(spark, d)
+    names = ("self-confidence", "margin", "neighbour_disagreement", "fixed_hybrid")
+    out = [validation.audit_scores(s, m, C, metric="euclidean").select("sample_id", "risk_method", "risk") for m in names]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query
+def first_distinct(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderdate", "o_orderkey")
+    return validation.first_distinct(o, "o_custkey", ["o_orderdate", "o_orderkey"], 50)
+
+
+@query
+def identities(spark, d):
+    """Names made of customers' keys, in mixed case."""
+    part = lambda n, k: F.lpad(F.upper(F.conv(F.col("c_custkey") * n, 10, 36)), k, "0")
+    name = F.concat(F.lit("set/tcga-"), F.substring(part(7, 4), 3, 2), F.lit("-"), part(11, 4), F.lit("-01Z-00-DX1_id-"), F.col("c_custkey").cast("string"))
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", name.alias("path"))
+    return validation.with_identities(c, "path").drop("path")
 
 
 @query

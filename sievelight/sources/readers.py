@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import json
+import sqlite3
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -140,6 +141,30 @@ def infer_fold(path_column: str = "path"):
     return F.nullif(F.regexp_extract(F.lower(path_column), r"fold[ _-]?([0-9]+)", 1), F.lit("")).cast("int")
 
 
+# File stems of a release's arrays and the role of each.
+ROLES = {"images": "image", "masks": "mask", "types": "tissue"}
+
+
+def release_roles(files: DataFrame, path: str = "path") -> DataFrame:
+    """(fold_id, role, path) of a release's arrays: exactly one image, mask and tissue array for each fold.
+
+    Raises for an array without a fold or a known role, and for a fold that lacks a role or has it twice.
+    """
+    stem = F.regexp_extract(path, r"([^/]+)\.npy$", 1)
+    table = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    found = files.where(F.lower(path).endswith(".npy")).select(infer_fold(path).alias("fold_id"), F.try_element_at(table, F.lower(stem)).alias("role"), F.col(path).alias("path"))
+    require_empty(found.where("fold_id is null or role is null"), "arrays without a fold or a role")
+    uneven = found.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("role").alias("k")).where(f"n <> {len(ROLES)} or k <> {len(ROLES)}")
+    require_empty(uneven, "folds whose arrays don't have one role each")
+    return found
+
+
+def read_sqlite(spark: SparkSession, path: str, query: str, schema: T.StructType | str) -> DataFrame:
+    """What a query of a driver's SQLite file returns.  For small authority tables: the rows pass through the driver."""
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+        return spark.createDataFrame(con.execute(query).fetchall(), schema)
+
+
 def read_ledger(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Records of a JSON-lines ledger; a line that isn't a record raises."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
