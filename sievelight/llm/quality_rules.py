@@ -9,17 +9,28 @@ from sievelight.llm.common import GAP, let, words
 
 SYMBOLS = "#*$%&|<>"
 
-# One-entry menu lines, and phrases that site templates add around an article.
+# One-entry menu lines, and phrases that site templates add around an article, in English, German, French
+# and Spanish.
 MENU = (
     r"(?i)^[ ]*(home|menu|login|log in|log out|sign in|sign up|register|search|next|previous|back|contact|contact us|"
-    r"about|about us|faq|help|sitemap|site map|skip to content|read more|more|share|print|top)[ .:>]*$"
+    r"about|about us|faq|help|sitemap|site map|skip to content|read more|more|share|print|top|"
+    r"startseite|men[üÜúÚ]|anmelden|abmelden|registrieren|suche|weiter|zur[üÜ]ck|kontakt|impressum|datenschutz|[üÜ]ber uns|"
+    r"mehr lesen|weiterlesen|mehr|teilen|drucken|accueil|connexion|d[éÉ]connexion|rechercher|suivant|pr[éÉ]c[éÉ]dent|"
+    r"nous contacter|[àÀ] propos|lire la suite|plan du site|mentions l[éÉ]gales|partager|imprimer|inicio|iniciar sesi[óÓ]n|"
+    r"buscar|siguiente|anterior|contacto|sobre nosotros|leer m[áÁ]s|mapa del sitio|aviso legal|compartir|imprimir)[ .:>]*$"
 )
 BOILERPLATE = (
     r"(?i)(cookie policy|use cookies|privacy policy|terms of use|terms of service|terms and conditions|"
     r"all rights reserved|enable javascript|lorem ipsum|click here|subscribe to our|sign up for our|"
-    r"share on facebook|share on twitter|follow us on|powered by wordpress|back to top)"
+    r"share on facebook|share on twitter|follow us on|powered by wordpress|back to top|"
+    r"verwendet cookies|cookie-richtlinie|datenschutzerkl[äÄ]rung|nutzungsbedingungen|alle rechte vorbehalten|hier klicken|"
+    r"newsletter abonnieren|utilise des cookies|politique de confidentialit[éÉ]|conditions d.utilisation|"
+    r"tous droits r[éÉ]serv[éÉ]s|cliquez ici|abonnez-vous|utiliza cookies|pol[íÍ]tica de privacidad|t[éÉ]rminos de uso|"
+    r"t[éÉ]rminos y condiciones|todos los derechos reservados|haga clic aqu[íÍ]|suscr[íÍ]base)"
 )
 SEPARATOR = "(^|[ ])[|>»›•·][ ]"
+#: What ends a sentence, with the quotes and brackets that may close after it.
+TERMINAL = r"[.!?…。！？:;][\x22\x27”’»)\]]*([\x20\x09-\x0D]|\z)"
 
 
 def _chars(x: Column) -> Column:
@@ -30,8 +41,9 @@ def _count(x: Column, marks: str) -> Column:
     return F.length(x) - F.length(F.translate(x, marks, ""))
 
 
-def _line_passes(x: Column, max_symbols: float, max_shouts: float, max_separators: int, boilerplate_chars: int) -> Column:
+def _line_passes(x: Column, max_symbols: float, max_shouts: float, max_separators: int, boilerplate_chars: int, sentence_chars: int) -> Column:
     punctuation = (_count(x, SYMBOLS) <= max_symbols * _chars(x)) & (_count(x, "!") <= max_shouts * _chars(x))
+    punctuation = punctuation & ((F.length(x) < sentence_chars) | F.rlike(x, F.lit(TERMINAL)))
     navigation = ~(F.rlike(x, F.lit(MENU)) | (F.regexp_count(x, F.lit(SEPARATOR)) > max_separators))
     boilerplate = (F.length(x) > boilerplate_chars) | ~F.rlike(x, F.lit(BOILERPLATE))
     return punctuation & navigation & boilerplate
@@ -72,12 +84,13 @@ def clean_lines(
     max_shouts: float = 0.1,
     max_separators: int = 2,
     boilerplate_chars: int = 300,
+    sentence_chars: int = 120,
     max_loss: float = 0.5,
 ) -> DataFrame:
     """Add line-cleaning columns to ``docs``: one row out for each row in, in one pass and without a shuffle.
 
-    A line fails if over ``max_symbols`` of its characters are markup symbols or over ``max_shouts`` are exclamation
-    marks (punctuation), if it has over ``max_separators`` menu separators or is a one-entry menu (navigation), if it is
+    A line fails if over ``max_symbols`` of its characters are markup symbols, if over ``max_shouts`` are exclamation
+    marks, or if it has ``sentence_chars`` characters or more and no sentence ends in it (punctuation), if it has over ``max_separators`` menu separators or is a one-entry menu (navigation), if it is
     at most ``boilerplate_chars`` long and holds a template phrase, or if it equals an earlier line (boilerplate).  The
     document is rejected (``kept`` false) if it loses over ``max_loss`` of its word characters, or by its base figures:
     under ``min_words`` words, or over ``max_repeat_percent`` percent of them in ``window``-word windows that repeat.
@@ -88,7 +101,7 @@ def clean_lines(
     A null or empty text has no words: every count is 0, base_failed is true, kept is false and clean_text is empty.
     Repeated rows and null ids are treated row by row.  Empty input gives empty output.
     """
-    params = (max_symbols, max_shouts, max_separators, boilerplate_chars)
+    params = (max_symbols, max_shouts, max_separators, boilerplate_chars, sentence_chars)
     t = F.coalesce(F.col(text), F.lit(""))
     lined = docs.withColumns({"_t": t, "_w": words(F.col(text)), "_l": F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))})
     counted = lined.withColumns(
@@ -135,6 +148,7 @@ c AS (
          list_sum(list_transform(list_filter(firsts, lambda x:
              length(x) - length(translate(x, '{SYMBOLS}', '')) <= 0.1 * length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g'))
              AND length(x) - length(translate(x, '!', '')) <= 0.1 * length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g'))
+             AND (length(x) < 120 OR regexp_matches(x, '{TERMINAL}'))
              AND NOT regexp_matches(x, '{MENU}') AND len(regexp_extract_all(x, '{SEPARATOR}')) <= 2
              AND (length(x) > 300 OR NOT regexp_matches(x, '{BOILERPLATE}'))),
            lambda x: length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g')))) AS clean

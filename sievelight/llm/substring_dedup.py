@@ -43,16 +43,15 @@ def _rolled(h: np.ndarray, n: int) -> np.ndarray:
 class _Powers:
     """Powers of the odd factor of word hashes and of its inverse, modulo 2^64, and a number for each byte."""
 
-    FACTOR = 0x9E3779B97F4A7C15
-
-    def __init__(self) -> None:
-        self.bytes = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    def __init__(self, factor: int, seed: int) -> None:
+        self.factor = factor
+        self.bytes = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed))
         self.up = self.down = np.ones(1, np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             both = []
-            for f in (self.FACTOR, pow(self.FACTOR, -1, 1 << 64)):
+            for f in (self.factor, pow(self.factor, -1, 1 << 64)):
                 steps = np.full(n, f, np.uint64)
                 steps[0] = 1
                 both.append(np.cumprod(steps, dtype=np.uint64))
@@ -60,22 +59,23 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_POWERS = _Powers()
+#: Two hashes that have nothing in common: the first finds windows, both together say which are equal.
+_FIRST, _SECOND = _Powers(0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), _Powers(0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 #: Bytes whose word hashes are computed at once.
 SPAN = 2 << 20
 
 
-def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers = _FIRST) -> np.ndarray:
     """Hash of each word raw[start:end]: a polynomial of its bytes, read off running sums, and mixed with its length."""
     out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + SPAN, "right")))
         first = int(starts[at])
-        up, down = _POWERS.to(max(SPAN, int(ends[to - 1]) - first))
+        up, down = powers.to(max(SPAN, int(ends[to - 1]) - first))
         piece = raw[first : ends[to - 1]]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_POWERS.bytes[piece] * up[: len(piece)], dtype=np.uint64)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(powers.bytes[piece] * up[: len(piece)], dtype=np.uint64)])
         s, e = starts[at:to] - first, ends[at:to] - first
         out[at:to] = _mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         at = to
@@ -95,6 +95,7 @@ class _Words:
         before, after = np.concatenate([[False], inside[:-1]]), np.concatenate([inside[1:], [False]])
         starts = np.flatnonzero(inside & (edge[:-1] | ~before[: len(raw)]))
         ends = np.flatnonzero(inside & (edge[1:] | ~after[: len(raw)])) + 1
+        self.raw, self.word_starts, self.word_ends = raw, starts, ends
         self.hashes = _word_hashes(raw, starts, ends)
         self.counts = np.bincount(np.searchsorted(limits, starts, "right"), minlength=len(sizes)).astype(np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
@@ -134,15 +135,14 @@ class _Words:
         return digits.tobytes().decode("utf-32-le")
 
     def located(self, g: np.ndarray, recurring: np.ndarray) -> np.ndarray:
-        """Which places begin a window that holds one of the recurring phrases, found by Aho-Corasick automata.
+        """Which places begin a window that holds one of the recurring phrases: where the automata find them.
 
-        Documents are joined for the automata, as windows across their ends are ruled out below.
+        One place of each recurring phrase says what it reads; all its places come from the automata alone.  Documents
+        are joined for them, as windows across their ends are ruled out below.
         """
         found = np.zeros(len(self.hashes) + 1, np.int64)
-        place = np.searchsorted(recurring, g & SENT)
-        place[place == len(recurring)] = 0
-        hit = np.flatnonzero(recurring[place] == g & SENT) if len(recurring) else np.zeros(0, np.int64)
-        first = hit[np.unique(g[hit], return_index=True)[1]]  # one place of each recurring phrase says what it reads
+        _, first = np.unique(g, return_index=True)
+        first = first[np.isin(g[first] & SENT, recurring)]
         text = self._letters()
         for at in range(0, len(first), SHARD):
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -157,19 +157,20 @@ class _Words:
 
 
 def _window_table(w: _Words, candidate: np.ndarray, doc_ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the candidate windows: distinct hashes in order, the first place of each, whether it occurs twice, and for
-    each place its number among the hashes.  Places are in order of document id and start."""
+    """Of the candidate windows: distinct pairs of hashes in order, the first place of each, whether it occurs twice, and
+    for each place its number among the pairs.  Places are in order of document id and start."""
     at = np.flatnonzero(candidate)
     h = _rolled(w.hashes, WINDOW)[at]
+    check = _rolled(_word_hashes(w.raw, w.word_starts, w.word_ends, _SECOND), WINDOW)[at] if len(at) else h
     owner = np.searchsorted(w.starts, at, "right") - 1
     start = at - w.starts[owner]
-    order = np.lexsort((start, doc_ids[owner], h))
-    at, h, owner, start = at[order], h[order], owner[order], start[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    order = np.lexsort((start, doc_ids[owner], check, h))
+    at, h, check, owner, start = at[order], h[order], check[order], owner[order], start[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])]) if len(h) else np.zeros(0, bool)
     number = np.cumsum(new) - 1
     firsts = np.flatnonzero(new)
     twice = np.diff(np.concatenate([firsts, [len(h)]])) >= 2
-    return h[firsts], doc_ids[owner[firsts]], start[firsts], twice, at, number, new, doc_ids[owner], start
+    return h[firsts], check[firsts], doc_ids[owner[firsts]], start[firsts], twice, at, number, new, doc_ids[owner], start
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -230,10 +231,10 @@ def _confirm_windows(table: pa.Table) -> pa.Table:
     keys = [B.get(s[0], np.uint64, True) for s in sent]
     docs, starts = [B.get(s[1], np.int64) for s in sent], [B.get(s[2], np.int32) for s in sent]
     twice = np.concatenate([np.unpackbits(np.frombuffer(s[3], np.uint8), count=len(k)) for s, k in zip(sent, keys)])
-    h, d, p = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts)
-    order = np.lexsort((p, d, h))
-    h2, d2, p2 = h[order], d[order], p[order]
-    new = np.concatenate([[True], h2[1:] != h2[:-1]]) if len(h2) else np.zeros(0, bool)
+    h, d, p, c = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts), np.concatenate([B.get(s[4], np.uint64) for s in sent])
+    order = np.lexsort((p, d, c, h))
+    h2, c2, d2, p2 = h[order], c[order], d[order], p[order]
+    new = np.concatenate([[True], (h2[1:] != h2[:-1]) | (c2[1:] != c2[:-1])]) if len(h2) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
     recurs = (np.bincount(group) >= 2) | (np.bincount(group, twice[order]) > 0)
     first = np.flatnonzero(new)[group] if len(h2) else group
@@ -257,7 +258,7 @@ def remove_repeats(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES, digest:
     shards of bounded size, and streams all its documents through them; windows that hold an occurrence are candidates,
     and their hashes go to buckets, once a block, with the first place in the block.  Buckets find the first place of
     all.  (3) Each block marks the words of windows that aren't the first and returns what is left.  Windows are equal if
-    their 64-bit hashes are.  doc_id must be of an integer type.
+    two independent 64-bit hashes of them are.  doc_id must be of an integer type.
 
     Null and empty texts have no words and stay as empty.  A null id counts as smaller than all others.  Places compare
     by (doc_id, start) alone, so of rows with equal ids neither is earlier at the same start, and both stay.  Other
@@ -287,12 +288,12 @@ def remove_repeats(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES, digest:
         masks = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(_by_bucket(answers, "bucket"), sizes, strict=True)]
         recurring = chosen[np.concatenate([*masks, np.zeros(0, np.uint8)]).astype(bool)]
         candidate = w.located(g, recurring)
-        hashes, firsts, starts, twice, *_ = _window_table(w, candidate, _ids(table))
+        hashes, checks, firsts, starts, twice, *_ = _window_table(w, candidate, _ids(table))
         block = table.column("block")[0].as_py()
         rows = [(-1 - block, block, B.squeeze(np.packbits(candidate).tobytes()))]
         for b, (s, e) in enumerate(itertools.pairwise(B.cuts(hashes, n_buckets))):
             if e > s:
-                parts = [B.put(hashes[s:e], True), B.put(firsts[s:e]), B.put(starts[s:e].astype(np.int32)), np.packbits(twice[s:e]).tobytes()]
+                parts = [B.put(hashes[s:e], True), B.put(firsts[s:e]), B.put(starts[s:e].astype(np.int32)), np.packbits(twice[s:e]).tobytes(), B.put(checks[s:e])]
                 rows.append((b, block, _frame(parts)))
         return _rows("key", rows)
 
@@ -303,7 +304,7 @@ def remove_repeats(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES, digest:
         w = _block(table)
         n = len(w.window_at)
         candidate = np.unpackbits(np.frombuffer(B.expand(_by_bucket(answers, "self")[0]), np.uint8), count=n).astype(bool)
-        _, _, _, _, at, number, new, owner_ids, start = _window_table(w, candidate, _ids(table))
+        *_, at, number, new, owner_ids, start = _window_table(w, candidate, _ids(table))
         status = np.concatenate([*[B.get(x, np.uint8) for x in _by_bucket(answers, "bucket")], np.zeros(0, np.uint8)])
         mine = status[number]
         first = np.flatnonzero(new)[number] if len(number) else number
