@@ -440,4 +440,16 @@ SELECT subgroup, round(x.auroc, 6) AS first, round(y.auroc, 6) AS second, round(
     "label_mapping": "SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'high' WHEN o_orderpriority IN ('3-MEDIUM', '5-LOW') THEN 'low' END AS mapped_label, count(*) AS n FROM orders GROUP BY 1",
     "collapse_to_parent": f"WITH {SAMPLES} SELECT group_id, min(fold_id) AS fold_id, count(*) AS n_rows FROM samples GROUP BY 1",
     "random_rankings": f"WITH {EVENTS}, r AS (SELECT run::int AS run, event, row_number() OVER (PARTITION BY run ORDER BY {u(51, 'run', 'doc_id')} DESC, doc_id) AS k FROM ev, range(20) t(run)) SELECT run, round(avg(event::int), 6) AS \"precision\" FROM r WHERE k <= 30 GROUP BY run",
+    "first_distinct": """SELECT o_custkey, o_orderdate, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders)
+WHERE r = 1 ORDER BY o_orderdate, o_orderkey, o_custkey LIMIT 50""",
+    "identities": """WITH n AS (SELECT c_custkey, substr(lpad(to_base(c_custkey * 7, 36), 4, '0'), 3, 2) || '-' || lpad(to_base(c_custkey * 11, 36), 4, '0') AS p FROM customer)
+SELECT c_custkey, 'TCGA-' || p AS patient_id, 'TCGA-' || p || '-01Z-00-DX1' AS slide_id, 'tcga-' || p || '-01Z-00-DX1_id-' || c_custkey::varchar AS fov_key FROM n""",
+    "finalist_selection": f"""WITH h AS (SELECT sha256(p_partkey::varchar) AS candidate_sha, p_brand AS risk_method, p_size % 2 AS budget, p_size % 5 AS complexity FROM part),
+c AS (SELECT *, round({u('objective', 'candidate_sha')}, 3) AS objective, round({u('effect', 'candidate_sha')}, 3) AS effect FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY risk_method, budget ORDER BY objective DESC, candidate_sha) AS r FROM c),
+f AS (SELECT * FROM r ORDER BY (r > 1)::int, objective DESC, candidate_sha LIMIT 8),
+w AS (SELECT *, row_number() OVER (ORDER BY objective DESC, effect DESC, complexity, candidate_sha) AS k FROM f),
+x AS (SELECT *, row_number() OVER (ORDER BY objective DESC, effect DESC, complexity, candidate_sha) AS k FROM f WHERE risk_method <> 'Brand#11')
+SELECT 'all' AS pool, candidate_sha, risk_method, budget, objective FROM w WHERE k = 1
+UNION ALL SELECT 'without_Brand#11', candidate_sha, risk_method, budget, objective FROM x WHERE k = 1""",
 }
