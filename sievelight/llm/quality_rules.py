@@ -90,8 +90,9 @@ def clean_lines(
     """Add line-cleaning columns to ``docs``: one row out for each row in, in one pass and without a shuffle.
 
     A line fails if over ``max_symbols`` of its characters are markup symbols, if over ``max_shouts`` are exclamation
-    marks, or if it has ``sentence_chars`` characters or more and no sentence ends in it (punctuation), if it has over ``max_separators`` menu separators or is a one-entry menu (navigation), if it is
-    at most ``boilerplate_chars`` long and holds a template phrase, or if it equals an earlier line (boilerplate).  The
+    marks, or if it has ``sentence_chars`` characters or more and no sentence ends in it (punctuation), if it has over
+    ``max_separators`` menu separators or is a one-entry menu (navigation), if it is at most ``boilerplate_chars`` long
+    and holds a template phrase, or if it equals an earlier line (boilerplate).  The
     document is rejected (``kept`` false) if it loses over ``max_loss`` of its word characters, or by its base figures:
     under ``min_words`` words, or over ``max_repeat_percent`` percent of them in ``window``-word windows that repeat.
 

@@ -40,18 +40,19 @@ def test_quality_rules_verdicts(spark):
 
 def test_lines_without_a_sentence_and_menus_of_four_languages_go(spark):
     sentence = "Ein Satz mit vielen Wörtern, der hier endet und dann noch einen zweiten Teil hat, wie es sich gehört."
+    other = "Danach folgt etwas ganz anderes, das man noch nie gelesen hat, und auch dies endet hier mit einem Punkt."
     rows = [
         (1, f"{sentence}\n" + "wort " * 60, "de", "s", 0),
-        (2, f"{sentence}\nZurück\nÜber uns\nWeiterlesen >\n{sentence} Und mehr.", "de", "s", 0),
-        (3, f"{sentence} {sentence} " + "unvollendet " * 8, "de", "s", 0),
-        (4, f"Tous droits réservés\nLire la suite\n{sentence} {sentence}", "fr", "s", 0),
-        (5, f"Cookie-Richtlinie\nPOLÍTICA DE PRIVACIDAD de esta página\n{sentence} {sentence}", "es", "s", 0),
+        (2, f"{sentence}\nZurück\nÜber uns\nWeiterlesen >\n{other} Und mehr.", "de", "s", 0),
+        (3, f"{sentence} {other} " + "unvollendet " * 8, "de", "s", 0),
+        (4, f"Tous droits réservés\nLire la suite\n{sentence} {other}", "fr", "s", 0),
+        (5, f"Cookie-Richtlinie\nPOLÍTICA DE PRIVACIDAD de esta página\n{sentence} {other}", "es", "s", 0),
     ]
     got = {r["doc_id"]: r for r in quality_rules.clean_lines(frame(spark, rows)).collect()}
     assert got[1]["clean_text"] == sentence and not got[1]["kept"]
-    assert got[2]["clean_text"] == f"{sentence}\n{sentence} Und mehr." and got[2]["kept"]
+    assert got[2]["clean_text"] == f"{sentence}\n{other} Und mehr." and got[2]["kept"]
     assert got[3]["clean_text"] == rows[2][1] and got[3]["kept"]
-    assert got[4]["clean_text"] == got[5]["clean_text"] == f"{sentence} {sentence}"
+    assert got[4]["clean_text"] == got[5]["clean_text"] == f"{sentence} {other}"
 
 
 def test_quality_rules_clashing_names_and_empty_table(spark):
