@@ -64,7 +64,7 @@ _FIRST, _SECOND = _Powers(0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), _Powers(0xA07
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 #: Bytes whose word hashes are computed at once.
-SPAN = 2 << 20
+SPAN = 1 << 19
 
 
 def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers = _FIRST) -> np.ndarray:
@@ -95,7 +95,7 @@ class _Words:
         before, after = np.concatenate([[False], inside[:-1]]), np.concatenate([inside[1:], [False]])
         starts = np.flatnonzero(inside & (edge[:-1] | ~before[: len(raw)]))
         ends = np.flatnonzero(inside & (edge[1:] | ~after[: len(raw)])) + 1
-        self.raw, self.word_starts, self.word_ends = raw, starts, ends
+        self.raw, self.word_starts, self.word_ends = raw, starts.astype(np.int32), ends.astype(np.int32)
         self.hashes = _word_hashes(raw, starts, ends)
         self.counts = np.bincount(np.searchsorted(limits, starts, "right"), minlength=len(sizes)).astype(np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
@@ -120,6 +120,16 @@ class _Words:
         twice = np.searchsorted(every, chosen, "right") - np.searchsorted(every, chosen, "left") >= 2
         return g, chosen, twice
 
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """The second hash of the windows that begin ``at``; only words of these windows are read again."""
+        edge = np.zeros(len(self.hashes) + 1, np.int32)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + WINDOW, -1)
+        inside = np.flatnonzero(np.cumsum(edge[:-1]))
+        hashes = np.zeros(len(self.hashes), np.uint64)
+        hashes[inside] = _word_hashes(self.raw, self.word_starts[inside].astype(np.int64), self.word_ends[inside].astype(np.int64), _SECOND)
+        return _rolled(hashes, WINDOW)[at]
+
     def _letters(self) -> str:
         """The block's words as a string, LETTERS characters each: the digits of the word's number.
 
@@ -141,7 +151,8 @@ class _Words:
         are joined for them, as windows across their ends are ruled out below.
         """
         found = np.zeros(len(self.hashes) + 1, np.int64)
-        _, first = np.unique(g, return_index=True)
+        first = np.argsort(g, kind="stable")
+        first = first[np.concatenate([[True], g[first[1:]] != g[first[:-1]]])] if len(g) else first
         first = first[np.isin(g[first] & SENT, recurring)]
         text = self._letters()
         for at in range(0, len(first), SHARD):
@@ -161,7 +172,7 @@ def _window_table(w: _Words, candidate: np.ndarray, doc_ids: np.ndarray) -> tupl
     for each place its number among the pairs.  Places are in order of document id and start."""
     at = np.flatnonzero(candidate)
     h = _rolled(w.hashes, WINDOW)[at]
-    check = _rolled(_word_hashes(w.raw, w.word_starts, w.word_ends, _SECOND), WINDOW)[at] if len(at) else h
+    check = w.checks(at)
     owner = np.searchsorted(w.starts, at, "right") - 1
     start = at - w.starts[owner]
     order = np.lexsort((start, doc_ids[owner], check, h))

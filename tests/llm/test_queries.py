@@ -42,3 +42,10 @@ def test_learned_models_hold_out_of_sample(spark):
     s = queries.queries()["op2_lm_scoring"](spark, sf)
     known, unknown = (s.where(c).selectExpr("sum(score) / sum(n_tokens)").first()[0] for c in ("not held_out", "held_out"))
     assert unknown < known < 0
+
+
+def test_the_trie_beats_the_unigrams_on_texts_that_it_did_not_see(spark):
+    """With enough to learn from: at a tenth of this size the unigrams are still better."""
+    s = queries.queries()["op2_lm_scoring"](spark, "/root/testdata/sf0.1").where("held_out")
+    score, base = s.selectExpr("sum(score)", "sum(base_score)").first()
+    assert score > base
