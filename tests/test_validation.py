@@ -291,6 +291,12 @@ def test_nested_validation_covers_every_row_once(samples):
     assert right["reference"] >= right["unchanged"] - 0.05
 
 
+def test_policy_search_returns_the_best_survivor(samples):
+    """Eight policies, two of which the ranking leaves for the downstream stage."""
+    found = validation.policy_search(samples.where("fold_id <> 0"), samples.where("fold_id = 0"), CLASSES, [0.1, 0.3], (2, 1)).collect()
+    assert len(found) == 1 and found[0]["stage"] == "downstream" and found[0]["effect"] > 0 and -1 <= found[0]["objective"] <= 1
+
+
 def test_first_distinct_and_identities(spark):
     df = spark.createDataFrame([(3, "b", 1), (1, "a", 2), (2, "a", 3), (4, None, 4), (5, "c", 5), (6, None, 6)], "at int, sha string, v int")
     assert [(r["sha"], r["v"]) for r in validation.first_distinct(df, "sha", ["at"], 3).collect()] == [("a", 2), ("b", 1), (None, 4)]
