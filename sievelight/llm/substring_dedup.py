@@ -109,13 +109,15 @@ class _Words:
         Equal windows hold equal phrases, so they have the same least one: a window recurs only if that phrase does.
         """
         g = _rolled(self.hashes, PHRASE)
+        if not self.window_at.any():
+            return g, np.zeros(0, np.uint64), np.zeros(0, bool)
         span = WINDOW - PHRASE + 1
         least, have = g & SENT, 1
         while 2 * have <= span:
             least, have = np.minimum(least[: len(least) - have], least[have:]), 2 * have
         more = span - have
         least = np.minimum(least[: len(least) - more], least[more:]) if more else least
-        chosen = np.unique(least[self.window_at]) if len(self.window_at) else np.zeros(0, np.uint64)
+        chosen = np.unique(least[self.window_at])
         every = np.sort(g & SENT)
         twice = np.searchsorted(every, chosen, "right") - np.searchsorted(every, chosen, "left") >= 2
         return g, chosen, twice
