@@ -106,6 +106,11 @@ def _answer(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["kind", "block", "bucket", "blob"])
 
 
+def _key_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], ["kind", "bucket", "block", "n", "blob"])
+
+
 def _counts(sent: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Keys by block, all distinct keys, their sums, and each sent key's place among them."""
     keys, counts = [], []
@@ -122,6 +127,36 @@ def _sent(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return len(k).to_bytes(8, "little") + k + B.put(counts)
 
 
+def _lead(kind: int, keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """What deals sorted keys to buckets."""
+    return keys if kind == WORDS else _bucket_keys(keys, n_buckets)
+
+
+def _relay(n_buckets: int):
+    """The two halves of a relay: sums of what blocks sent for the buckets, and the buckets' answers for the blocks."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        kind, relay = table.column("kind")[0].as_py(), table.column("relay")[0].as_py()
+        _, keys, n, _ = _counts(table.column("blob").to_pylist())
+        lead = _lead(kind, keys, n_buckets)
+        order = np.argsort(lead, kind="stable")
+        keys, n = keys[order], n[order]
+        rows = [(kind, b, relay, 0, _sent(keys[s:e], n[s:e])) for b, (s, e) in enumerate(itertools.pairwise(B.cuts(lead[order], n_buckets))) if e > s]
+        return pa.Table.from_batches([_key_rows(rows)])
+
+    def hand_back(table: pa.Table, answers: pa.Table) -> pa.Table:
+        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+        sent, keys, _, place = _counts(table.column("blob").to_pylist())
+        got = sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
+        values = np.concatenate([B.get(x, np.int64 if kind == WORDS else np.float32) for _, x in got])
+        by_key = np.empty_like(values)
+        by_key[np.argsort(_lead(kind, keys, n_buckets), kind="stable")] = values
+        at = np.cumsum([len(k) for k in sent])[:-1]
+        return _answer([(kind, block, bucket, B.put(x)) for block, x in zip(table.column("block").to_pylist(), np.split(by_key[place], at))])
+
+    return merge, hand_back
+
+
 class Trie:
     """Log10 probabilities of symbols after contexts of at most ORDER bytes, by counts (PPM, escape method D).
 
@@ -186,7 +221,7 @@ class Trie:
         return out
 
 
-def score_texts(docs: DataFrame, held_out, *, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, *, block_bytes: int = B.BLOCK_BYTES, fan: int = B.FAN) -> DataFrame:
     """Score every text by models of the texts for which the boolean column ``held_out`` is not true.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.  Tokens are the words of the text,
@@ -196,8 +231,8 @@ def score_texts(docs: DataFrame, held_out, *, block_bytes: int = B.BLOCK_BYTES)
     Way: (1) blocks of texts sum up their distinct words and grams (context and symbol) with their training counts and
     send each once to a bucket.  Grams with the same last three context bytes share a bucket, which so holds whole
     contexts of the higher orders; the counts of the orders up to LOW are one table of at most 2^24 entries.  (2) Buckets
-    answer each block's words with their counts in the corpus and its grams with their log10 probabilities.  (3) Blocks
-    add them up.  All counts are of all training texts; what is sent grows with them.
+    answer each block's words with their counts in the corpus and its grams with their log10 probabilities; beyond ``fan``
+    buckets relays stand between (``blocks.exchange``).  (3) Blocks add them up.  All counts are of all training texts; what is sent grows with them.
 
     Null and empty texts have one token, their end.  A null id or null flag counts as not held out.  Without training
     texts no token is known and every byte costs log10 of 256.  Words are told apart by 64-bit hashes.  Rows count one
@@ -206,7 +241,9 @@ def score_texts(docs: DataFrame, held_out, *, block_bytes: int = B.BLOCK_BYTES)
     d = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     id_type = d.schema["doc_id"].dataType.simpleString()
     packed = B.pack(d, ("doc_id", "held_out"), block_bytes)
-    n_buckets = B.bucket_count(B.count(packed), block_bytes // 16)
+    n_blocks = B.count(packed)
+    all_buckets = B.bucket_count(n_blocks, block_bytes // 16)
+    n_buckets = B.first_level(all_buckets, fan)
     spark = docs.sparkSession
 
     def parts(row: pa.Table | pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
@@ -231,8 +268,7 @@ def score_texts(docs: DataFrame, held_out, *, block_bytes: int = B.BLOCK_BYTES)
                 low = grams[n > 0] & np.uint64((1 << (8 * (LOW + 1))) - 1)
                 order = np.argsort(low, kind="stable")
                 rows.append((LOWS, -1, block, int(training.sum()), _sent(*_sum_sorted(low[order], n[n > 0][order]))))
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], ["kind", "bucket", "block", "n", "blob"])
+                yield _key_rows(rows)
 
     sent = checkpoint(packed.mapInArrow(keyed, KEY))
 
@@ -267,7 +303,7 @@ def score_texts(docs: DataFrame, held_out, *, block_bytes: int = B.BLOCK_BYTES)
         at = np.cumsum([len(k) for k in keys])[:-1]
         return _answer([(kind, block, bucket, B.put(x)) for block, x in zip(table.column("block").to_pylist(), np.split(values[place], at))])
 
-    answers = sent.where(F.col("kind") != LOWS).groupBy("kind", "bucket").applyInArrow(answered, ANSWER)
+    answers = B.exchange(sent.where(F.col("kind") != LOWS), n_blocks, all_buckets, fan, answered, *_relay(all_buckets), KEY, ANSWER, ["kind"])
 
     def scored(row: pa.Table, answers: pa.Table) -> pa.Table:
         texts, training = parts(row)

@@ -222,44 +222,112 @@ def _by_bucket(table: pa.Table, key: str) -> list[bytes]:
     return [blob for bucket, blob in rows if (bucket >= 0) == (key == "bucket")]
 
 
+def _phrase_blob(keys: np.ndarray, twice: np.ndarray) -> bytes:
+    return _frame([B.put(keys, True), np.packbits(twice).tobytes()])
+
+
+def _window_blob(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, twice: np.ndarray, checks: np.ndarray) -> bytes:
+    return _frame([B.put(hashes, True), B.put(docs), B.put(starts.astype(np.int32)), np.packbits(twice).tobytes(), B.put(checks)])
+
+
+class _Phrases:
+    """What blocks sent of their phrases to a bucket, and which of these occur at two places or more."""
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        sent = [_unframe(x) for x in blobs]
+        self.keys = [B.get(k, np.uint64, True) for k, _ in sent]
+        twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(k)).astype(bool) for (_, t), k in zip(sent, self.keys)]
+        self.every = np.sort(np.concatenate(self.keys))
+        shared = np.unique(self.every[1:][self.every[1:] == self.every[:-1]])
+        self.recurring = np.union1d(shared, np.concatenate([k[t] for k, t in zip(self.keys, twice)]))
+
+    def answers(self, recurring: np.ndarray) -> list[bytes]:
+        return [np.packbits(np.isin(k, recurring)).tobytes() for k in self.keys]
+
+
+class _Windows:
+    """What blocks sent of their windows to a bucket, in the order of hashes and then places; equal windows are a group."""
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        sent = [_unframe(x) for x in blobs]
+        keys = [B.get(s[0], np.uint64, True) for s in sent]
+        self.sizes = [len(k) for k in keys]
+        twice = np.concatenate([np.unpackbits(np.frombuffer(s[3], np.uint8), count=n) for s, n in zip(sent, self.sizes)])
+        h, c = np.concatenate(keys), np.concatenate([B.get(s[4], np.uint64) for s in sent])
+        d, p = (np.concatenate([B.get(s[i], t) for s in sent]) for i, t in ((1, np.int64), (2, np.int32)))
+        self.order = np.lexsort((p, d, c, h))
+        self.h, self.c, self.d, self.p = h[self.order], c[self.order], d[self.order], p[self.order]
+        new = np.concatenate([[True], (self.h[1:] != self.h[:-1]) | (self.c[1:] != self.c[:-1])]) if len(h) else np.zeros(0, bool)
+        self.group, self.firsts = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.recurs = (np.bincount(self.group) >= 2) | (np.bincount(self.group, twice[self.order]) > 0)
+        first = self.firsts[self.group]
+        self.is_first = (self.d == self.d[first]) & (self.p == self.p[first])
+
+    def answers(self, status: np.ndarray) -> list[bytes]:
+        """For each block the status of its windows, from that of each group (0, or 1 if the first place of all is here,
+        or 2): 0 for windows that don't recur, 1 if the block has the first place, 2 if not."""
+        s = status[self.group]
+        out = np.zeros(len(self.order), np.uint8)
+        out[self.order] = np.where(s == 0, 0, np.where((s == 1) & self.is_first, 1, 2))
+        return [B.put(x) for x in np.split(out, np.cumsum(self.sizes)[:-1])]
+
+
+def _reply(table: pa.Table, blobs: list[bytes]) -> pa.Table:
+    return _rows("answer", list(zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), blobs)))
+
+
 def _confirm_phrases(table: pa.Table) -> pa.Table:
     """Of the phrases that the blocks sent to a bucket: which occur at two places or more."""
-    sent = [_unframe(x) for x in table.column("blob").to_pylist()]
-    keys = [B.get(k, np.uint64, True) for k, _ in sent]
-    twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(k)).astype(bool) for (_, t), k in zip(sent, keys)]
-    every = np.sort(np.concatenate(keys))
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
-    shared = np.union1d(shared, np.concatenate([k[t] for k, t in zip(keys, twice)]))
-    answers = [np.packbits(np.isin(k, shared)).tobytes() for k in keys]
-    return _rows("answer", list(zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), answers)))
+    p = _Phrases(table.column("blob").to_pylist())
+    return _reply(table, p.answers(p.recurring))
 
 
 def _confirm_windows(table: pa.Table) -> pa.Table:
-    """Of the windows that the blocks sent to a bucket, the first places of those that recur: 1 if the block has it, 2 if
-    not; 0 for windows that don't recur.  Rows of buckets under 0 are what a block left for itself."""
-    blocks, buckets, blobs = (table.column(c).to_pylist() for c in ("block", "bucket", "blob"))
-    if buckets[0] < 0:
-        return _rows("answer", list(zip(blocks, buckets, blobs)))
-    sent = [_unframe(x) for x in blobs]
-    keys = [B.get(s[0], np.uint64, True) for s in sent]
-    docs, starts = [B.get(s[1], np.int64) for s in sent], [B.get(s[2], np.int32) for s in sent]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(s[3], np.uint8), count=len(k)) for s, k in zip(sent, keys)])
-    h, d, p, c = np.concatenate(keys), np.concatenate(docs), np.concatenate(starts), np.concatenate([B.get(s[4], np.uint64) for s in sent])
-    order = np.lexsort((p, d, c, h))
-    h2, c2, d2, p2 = h[order], c[order], d[order], p[order]
-    new = np.concatenate([[True], (h2[1:] != h2[:-1]) | (c2[1:] != c2[:-1])]) if len(h2) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    recurs = (np.bincount(group) >= 2) | (np.bincount(group, twice[order]) > 0)
-    first = np.flatnonzero(new)[group] if len(h2) else group
-    is_first = (d2 == d2[first]) & (p2 == p2[first])
-    status = np.zeros(len(h), np.uint8)
-    status[order] = np.where(~recurs[group], 0, np.where(is_first, 1, 2))
-    at = np.cumsum([len(k) for k in keys])
-    answers = [B.put(x) for x in np.split(status, at[:-1])]
-    return _rows("answer", list(zip(blocks, buckets, answers)))
-
-
-def remove_repeats(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES, digest: bool = False) -> DataFrame:
+    """Of the windows that the blocks sent to a bucket, the first places of those that recur.  Rows of buckets under 0 are
+    what a block left for itself."""
+    blobs = table.column("blob").to_pylist()
+    if table.column("bucket")[0].as_py() < 0:
+        return _reply(table, blobs)
+    w = _Windows(blobs)
+    return _reply(table, w.answers(w.recurs.astype(np.uint8)))
+
+
+def _relay_phrases(n_buckets: int):
+    """A relay's two halves for phrases."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        p, relay = _Phrases(table.column("blob").to_pylist()), table.column("relay")[0].as_py()
+        keys = np.unique(p.every)
+        twice = np.isin(keys, p.recurring)
+        return _rows("key", [(b, relay, _phrase_blob(keys[s:e], twice[s:e])) for b, (s, e) in enumerate(itertools.pairwise(B.cuts(keys, n_buckets))) if e > s])
+
+    def hand_back(table: pa.Table, answers: pa.Table) -> pa.Table:
+        p = _Phrases(table.column("blob").to_pylist())
+        keys = np.unique(p.every)
+        sizes = [e - s for s, e in itertools.pairwise(B.cuts(keys, n_buckets)) if e > s]
+        masks = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(_by_bucket(answers, "bucket"), sizes, strict=True)]
+        return _reply(table, p.answers(keys[np.concatenate(masks).astype(bool)]))
+
+    return merge, hand_back
+
+
+def _relay_windows(n_buckets: int):
+    """A relay's two halves for windows: each goes on once, with the first place that the relay knows."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        w, relay = _Windows(table.column("blob").to_pylist()), table.column("relay")[0].as_py()
+        h, c, d, p = (x[w.firsts] for x in (w.h, w.c, w.d, w.p))
+        cuts = itertools.pairwise(B.cuts(h, n_buckets))
+        return _rows("key", [(b, relay, _window_blob(h[s:e], d[s:e], p[s:e], w.recurs[s:e], c[s:e])) for b, (s, e) in enumerate(cuts) if e > s])
+
+    def hand_back(table: pa.Table, answers: pa.Table) -> pa.Table:
+        w = _Windows(table.column("blob").to_pylist())
+        return _reply(table, w.answers(np.concatenate([B.get(x, np.uint8) for x in _by_bucket(answers, "bucket")])))
+
+    return merge, hand_back
+
+
+def remove_repeats(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES, fan: int = B.FAN, digest: bool = False) -> DataFrame:
     """Remove the words of 20-word windows that start earlier elsewhere: (doc_id, n_words, n_removed, kept_text).
 
     A window is 20 consecutive words of a document; it is removed if the same words also start earlier: in a document
@@ -270,7 +338,8 @@ def remove_repeats(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES, digest:
     those that occur at two places or more.  (2) Each block compiles its confirmed phrases to Aho-Corasick automata, in
     shards of bounded size, and streams all its documents through them; windows that hold an occurrence are candidates,
     and their hashes go to buckets, once a block, with the first place in the block.  Buckets find the first place of
-    all.  (3) Each block marks the words of windows that aren't the first and returns what is left.  Windows are equal if
+    all.  (3) Each block marks the words of windows that aren't the first and returns what is left.  Beyond ``fan`` buckets
+    relays stand between blocks and buckets (``blocks.exchange``).  Windows are equal if
     two independent 64-bit hashes of them are.  doc_id must be of an integer type.
 
     Null and empty texts have no words and stay as empty.  A null id counts as smaller than all others.  Places compare
@@ -279,7 +348,9 @@ def remove_repeats(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES, digest:
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = B.pack(d, block_bytes=block_bytes)
-    n_buckets = B.bucket_count(B.count(packed), block_bytes // 40)
+    n_blocks = B.count(packed)
+    all_buckets = B.bucket_count(n_blocks, block_bytes // 40)
+    n_buckets = B.first_level(all_buckets, fan)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,10 +359,10 @@ def remove_repeats(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES, digest:
                 _, chosen, twice = _block(row).phrases()
                 at = B.cuts(chosen, n_buckets)
                 block = row.column("block")[0].as_py()
-                rows = [(b, block, _frame([B.put(chosen[s:e], True), np.packbits(twice[s:e]).tobytes()])) for b, (s, e) in enumerate(itertools.pairwise(at)) if e > s]
+                rows = [(b, block, _phrase_blob(chosen[s:e], twice[s:e])) for b, (s, e) in enumerate(itertools.pairwise(at)) if e > s]
                 yield from _rows("key", rows).to_batches()
 
-    phrases = packed.mapInArrow(keyed, KEY).groupBy("bucket").applyInArrow(_confirm_phrases, ANSWER)
+    phrases = B.exchange(packed.mapInArrow(keyed, KEY), n_blocks, all_buckets, fan, _confirm_phrases, *_relay_phrases(all_buckets), KEY, ANSWER)
 
     def candidates(table: pa.Table, answers: pa.Table) -> pa.Table:
         w = _block(table)
@@ -306,11 +377,11 @@ def remove_repeats(docs: DataFrame, *, block_bytes: int = B.BLOCK_BYTES, digest:
         rows = [(-1 - block, block, B.squeeze(np.packbits(candidate).tobytes()))]
         for b, (s, e) in enumerate(itertools.pairwise(B.cuts(hashes, n_buckets))):
             if e > s:
-                parts = [B.put(hashes[s:e], True), B.put(firsts[s:e]), B.put(starts[s:e].astype(np.int32)), np.packbits(twice[s:e]).tobytes(), B.put(checks[s:e])]
-                rows.append((b, block, _frame(parts)))
+                rows.append((b, block, _window_blob(hashes[s:e], firsts[s:e], starts[s:e], twice[s:e], checks[s:e])))
         return _rows("key", rows)
 
-    windows = B.by_block(packed, phrases, candidates, KEY).groupBy("bucket").applyInArrow(_confirm_windows, ANSWER)
+    located = B.by_block(packed, phrases, candidates, KEY)
+    windows = B.exchange(located, n_blocks, all_buckets, fan, _confirm_windows, *_relay_windows(all_buckets), KEY, ANSWER)
     last = "kept_sha256" if digest else "kept_text"
 
     def removed(table: pa.Table, answers: pa.Table) -> pa.Table:

@@ -106,9 +106,10 @@ def test_repeats_against_brute_force(spark):
                 gone |= set(range(i, i + 20))
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         expected.append((doc_id, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-    for block_bytes in (1 << 12, 1 << 24):
-        got = substring_dedup.remove_repeats(crowded(spark, ["kept_sha256"]), block_bytes=block_bytes, digest=True)
+    for block_bytes, fan in ((1 << 12, blocks.FAN), (1 << 24, blocks.FAN), (1 << 6, 16)):  # the last with relays, two groups of blocks
+        got = substring_dedup.remove_repeats(crowded(spark, ["kept_sha256"]), block_bytes=block_bytes, fan=fan, digest=True)
         assert sorted(map(tuple, got.collect()), key=key) == sorted(expected, key=key)
+    assert blocks.count(blocks.pack(frame(spark), block_bytes=1 << 6)) > 4 * blocks.first_level(blocks.bucket_count(1, 1), 16)
     text = substring_dedup.remove_repeats(frame(spark)).where("doc_id = 61").first()
     assert text["kept_text"] == "" and text["n_removed"] == text["n_words"]
     assert substring_dedup.op7_substring_dedup(frame(spark, [])).count() == 0
@@ -156,8 +157,9 @@ def test_lm_scores_against_a_trie(spark):
     c = Counter(w for t in training for w in t.lower().split())
     ends = len(training)
     n, v = sum(c.values()) + ends, len(c) + 1
-    for block_bytes in (1 << 12, 1 << 24):
-        got = lm_scoring.score_texts(crowded(spark, ["score"], rows), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, block_bytes=block_bytes).collect()
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    for block_bytes, fan in ((1 << 12, blocks.FAN), (1 << 24, blocks.FAN), (1 << 6, 16)):  # the last with relays, two groups of blocks
+        got = lm_scoring.score_texts(crowded(spark, ["score"], rows), held_out, block_bytes=block_bytes, fan=fan).collect()
         assert len(got) == len(rows)
         texts = {r[0]: (r[1] or "").encode() for r in rows}
         for r in got:
