@@ -260,6 +260,32 @@ def test_duplicates(spark):
     assert got[0] == "00000000ffffffff" and got[1] == "f" * 16
 
 
+def test_counts_of_duplicates_are_those_of_the_pairs(spark):
+    rng = np.random.default_rng(8)
+    some = lambda values: values[rng.integers(len(values))]
+    rows = [(some([None, *range(150)]), some(["a", "a", "b", "", None, f"c{i % 90}"]), some([None, 0, 1, 2])) for i in range(400)]  # ids repeat
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "id long, c string, fold int").withColumn("id", F.col("id").cast(kind))
+        for across in (True, False):
+            pairs = {}
+            ids = [(None if i is None else str(i) if kind == "string" else i, c, f) for i, c, f in rows]
+            for i, c, f in ids:
+                for j, d, g in ids:
+                    if None not in (i, j, c) and c == d and i < j and not (across and (f is None or g is None or f == g)):
+                        pairs[i] = pairs.get(i, 0) + 1
+            made = duplicates.exact_duplicates(df, "id", "c", "fold", cross_fold_only=across).groupBy("a_id").count()
+            counted = duplicates.exact_duplicate_counts(df, "id", "c", "fold", cross_fold_only=across)
+            assert {r["a_id"]: r["count"] for r in made.collect()} == pairs == {r["a_id"]: r["n"] for r in counted.collect()}
+            assert duplicates.exact_duplicate_counts(df.where("false"), "id", "c", "fold", cross_fold_only=across).count() == 0
+
+
+def test_counts_of_duplicates_make_no_pairs(spark):
+    n = 200_000  # two contents: 5 billion pairs in different folds
+    df = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("c"), F.expr("int(id % 4 / 2)").alias("fold"))
+    got = {r["a_id"]: r["n"] for r in duplicates.exact_duplicate_counts(df, "id", "c", "fold").collect()}
+    assert got == {i: (n - i + 1) // 4 for i in range(n) if (n - i + 1) // 4}
+
+
 def test_oof_predictions_cover_rows_once(spark):
     out = models.oof_logistic(samples(spark), "observed_label", (0, 1, 2))
     assert splits.coverage_violations(out, "sample_id").count() == 0 and out.where(~fn.valid_probabilities(F.col("probs"), 3)).count() == 0

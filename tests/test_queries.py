@@ -47,6 +47,16 @@ def test_query_equals_its_sql(spark, duck, name):
         assert all(math.isclose(x, y, abs_tol=2e-5) if isinstance(x, float) and y is not None else x == y for x, y in zip(g, w)), (g, w)
 
 
+def test_exact_duplicate_pairs_with_nulls_and_repeated_keys(spark, tmp_path):
+    con = duckdb.connect()
+    odd = "p_partkey % 150 AS p_partkey, CASE WHEN p_partkey % 5 > 0 THEN p_type END AS p_type, CASE WHEN p_partkey % 7 > 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 11 > 0 THEN p_size END AS p_size"
+    con.sql(f"copy (select * replace ({odd}) from '{SF}/part.parquet') to '{tmp_path}/part.parquet'")
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet'")
+    expected = con.sql(catalogue.oracle_sql()["exact_duplicate_pairs"]).fetchall()
+    got = catalogue.queries()["exact_duplicate_pairs"](spark, str(tmp_path)).collect()
+    assert sorted((r["a_id"], r["n"]) for r in got) == sorted(expected) and expected
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_without_sql_has_rows(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
