@@ -160,31 +160,39 @@ def components(links: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def fingerprint_links(kinds: DataFrame, *, radius: int = RADIUS) -> DataFrame:
+    """(a, b) of distinct fingerprints ``fp``: links that connect all those within ``radius`` (3 at most) bits.
+
+    Each fingerprint is cut into two segments of 32 bits; a link leaves one of them with one differing bit at most, so
+    both fingerprints share a variant of that segment with one bit deleted.  Equal variants meet in an equality shuffle,
+    sorted, and each is verified on the whole fingerprints: for a variant that many share, a spanning forest of its links,
+    not all pairs.
+    """
+    if radius > 2 * SEGMENTS - 1:
+        raise ValueError("two segments with one wildcard each find up to three differing bits")
+    ship(kinds.sparkSession)
+    spread = kinds.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("j"))
+    keyed = spread.select(_keys(F.col("fp")).alias("key"), "fp")
+    keyed = keyed.repartition("key").sortWithinPartitions("key", "fp")
+    return checkpoint(keyed.mapInArrow(_links(radius), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``: component_id is the least doc_id that its links reach.
 
-    Fingerprints link if they differ in at most ``radius`` (3 at most) bits.  Each distinct fingerprint is cut into two
-    segments of 32 bits; a link leaves one of them with one differing bit at most, so both fingerprints share a variant
-    of that segment with one bit deleted.  Equal variants meet in an equality shuffle, sorted, and each is verified on
-    the whole fingerprints: for a variant that many share, a spanning forest of its links, not all pairs.  So the
+    Fingerprints link if they differ in at most ``radius`` (3 at most) bits: ``fingerprint_links`` finds them, so the
     components are those of all links.  Exact copies are one fingerprint from the start.
 
     Null and empty texts have fingerprint 0 and link like others.  Rows with a null doc_id count, but the least id of
     a component ignores nulls (null if it has no other).  Repeated rows are returned as often as they come; empty input
     gives empty output; other columns are ignored.
     """
-    if radius > 2 * SEGMENTS - 1:
-        raise ValueError("two segments with one wildcard each find up to three differing bits")
     ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     prints = docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), f"doc_id {id_type}, fp long")
     prints = checkpoint(prints)
     kinds = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    spread = kinds.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("j"))
-    keyed = spread.select(_keys(F.col("fp")).alias("key"), "fp")
-    keyed = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    links = checkpoint(keyed.mapInArrow(_links(radius), "a long, b long").distinct())
-    roots = components(links)
+    roots = components(fingerprint_links(kinds, radius=radius))
     # Least id by component, over the linked fingerprints only; the others are components of their own.
     linked = kinds.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), F.col("fp") == F.col("node"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))

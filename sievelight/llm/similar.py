@@ -1,4 +1,4 @@
-"""Near copies by the exact similarity of five-word shingles: MinHash bands propose, shingle sets decide."""
+"""Near copies by the exact similarity of five-word shingles: SimHash fingerprints and MinHash bands propose, shingle sets decide."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.shipping import ship
 from sievelight.llm.common import checkpoint
-from sievelight.llm.near_dedup import components
+from sievelight.llm.near_dedup import components, fingerprint, fingerprint_links
 
 #: A pair of similarity s shares no band with probability (1 - s**ROWS)**BANDS: 1.3e-7 at 0.8, 1e-10 at 0.85.
 BANDS, ROWS = 40, 5
@@ -65,18 +65,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _described(size: int):
-    """For each row its name, and its shingle set's hash, size and band keys."""
+    """For each row its name, its shingle set's hash, size and band keys, and its text's SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, prints = [], [], [], []
             for t in batch.column("text"):
-                s = shingles(t.as_py(), size)
+                s = shingles(text := t.as_py(), size)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
                 sizes.append(len(s))
                 keys.append(band_keys(s))
-            more = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(keys)]
-            yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "_row"]).columns, *more], ["doc_id", "_row", "_node", "_n", "_keys"])
+                prints.append(fingerprint(text))
+            more = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(keys), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "_row"]).columns, *more], ["doc_id", "_row", "_node", "_n", "_keys", "_fp"])
 
     return run
 
@@ -112,29 +113,52 @@ def _crowded(bands: DataFrame) -> DataFrame:
     return bands.join(shared, "key", "left_semi")
 
 
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _proposed(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes whose fingerprints are equal or link, by the deletion variants of ``near_dedup``.
+
+    The least node of a fingerprint stands for it: the others are held against that one.
+    """
+    prints = rows.where("_n > 0").select(F.col("_fp").alias("fp"), F.col("_node").alias("node"))
+    least = checkpoint(prints.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")))
+    equal = prints.join(least.where("least < most"), "fp").select(*_pair("node", "least"))
+    least = least.drop("most")
+    near = fingerprint_links(least)
+    for end in "ab":
+        near = near.join(least.withColumnsRenamed({"fp": end, "least": f"of_{end}"}), end)
+    return checkpoint(equal.unionByName(near.select(*_pair("of_a", "of_b"))).where("a < b").distinct())
+
+
 def similar_rows(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
     """(doc_id, _row, _root) for each row of ``docs``: _root is equal for rows that links reach, _row is of ``_rows``.
 
     A link is a similarity of ``min_similarity`` or more.
 
-    The similarity is that of the sets of ``shingle``-word shingles (shared over all).  Rows with equal sets are one
-    node from the start.  Nodes that share a band of the MinHash signature are candidates, and only the exact similarity
-    of the sets links.  Shingles that no other candidate has (``u`` of a node's ``n``) can't be shared: a node with too
-    many of them to reach the similarity with any other leaves the search, and so do pairs whose bound by them is too
-    low.  Of a band's group, members are first compared with one leader each round, the one with the fewest shingles of
-    its own first, as most large groups are copies of one text.  After ``STAR_ROUNDS`` the members that are still in
-    different components are held against each other by these bounds and by ``parities``, which say how many shingles
-    two sets differ in at least; only pairs that may link leave that join, each once, and are compared.  So the
-    components are those of all links that share a band.  Texts without words are one node; doc_id plays no part.
+    The similarity is that of the sets of ``shingle``-word shingles (shared over all). Rows with equal sets are one node
+    from the start. Nodes whose SimHash fingerprints link (3 bits, ``near_dedup.fingerprint_links``) are compared in the
+    first round. For what lies further apart, nodes that share a band of the MinHash signature are candidates. Of both
+    only the exact similarity of the sets links, and what a round has joined is not compared again. Shingles that no
+    other candidate has (``u`` of a node's ``n``) can't be shared: a node with too many of them to reach the similarity
+    with any other leaves the search, and so do pairs whose bound by them is too low. Of a band's group, members are
+    first compared with one leader each round, the one with the fewest shingles of its own first, as most large groups
+    are copies of one text. After ``STAR_ROUNDS`` the members that are still in different components are held against
+    each other by these bounds and by ``parities``, which say how many shingles two sets differ in at least; only pairs
+    that may link leave that join, each once, and are compared. So the components are those of all links that share a
+    band, and of those that the fingerprints find besides. Texts without words are one node; doc_id plays no part.
     """
     ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    described = _rows(docs).select("doc_id", "_row", "text").mapInArrow(_described(shingle), f"doc_id {id_type}, _row long, _node long, _n int, _keys array<long>")
+    described = _rows(docs).select("doc_id", "_row", "text").mapInArrow(_described(shingle), f"doc_id {id_type}, _row long, _node long, _n int, _keys array<long>, _fp long")
     rows = checkpoint(described)
+    proposed = _proposed(rows)
     kinds = rows.groupBy("_node").agg(F.first("_n").alias("n"), F.first("_keys").alias("keys"))
     bands = kinds.select(F.explode("keys").alias("key"), F.col("_node").alias("node"), "n")
     bands = checkpoint(_crowded(bands))
-    wanted = rows.join(bands.select(F.col("node").alias("_node")).distinct(), "_node", "left_semi").groupBy("_node").agg(F.min("_row").alias("_row"))
+    candidates = bands.select("node").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = rows.join(candidates.withColumnRenamed("node", "_node"), "_node", "left_semi").groupBy("_node").agg(F.min("_row").alias("_row"))
     texts = _rows(docs).select("_row", "text").join(wanted, "_row").dropDuplicates(["_row"])
     sets = checkpoint(texts.mapInArrow(_sets(shingle), "node long, s array<long>, q array<long>"))
     own = sets.select("node", F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.first("node").alias("node"))
@@ -150,11 +174,9 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0
     def named(b: DataFrame, roots: DataFrame) -> DataFrame:
         return b.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def pair(x: str, y: str) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
     # What two sets share is in neither's own shingles, so this holds for all pairs that reach the similarity.
     possible = F.least(F.col("n") - F.col("u"), F.col("m") - F.col("v")) >= min_similarity / (1 + min_similarity) * (F.col("n") + F.col("m")) - 1e-9
+
     links = tested = docs.sparkSession.createDataFrame([], "a long, b long")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     for k in range(STAR_ROUNDS + 1):
@@ -172,12 +194,14 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0
             bits = sum((F.bit_count(F.col("q")[i].bitwiseXOR(F.col("r")[i])) for i in range(1, LANES)), F.bit_count(F.col("q")[0].bitwiseXOR(F.col("r")[0])))
             close = bits <= (1 - min_similarity) / (1 + min_similarity) * (F.col("n") + F.col("m")) + 1e-9
             pairs = left.join(right, "key").where((F.col("root") < F.col("to")) & possible & close & once)
-        pairs = checkpoint(pairs.select(*pair("node", "other")).distinct().join(tested, ["a", "b"], "left_anti"))
+        pairs = pairs.select(*_pair("node", "other"))
+        pairs = pairs.unionByName(proposed) if k == 0 else pairs
+        pairs = checkpoint(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
         links = checkpoint(links.unionByName(verified(pairs)))
         roots = components(links)
         roots = checkpoint(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
-    return rows.drop("_n", "_keys").join(roots.withColumnsRenamed({"node": "_node", "root": "_root"}), "_node", "left").withColumn("_root", F.coalesce("_root", "_node")).drop("_node")
+    return rows.drop("_n", "_keys", "_fp").join(roots.withColumnsRenamed({"node": "_node", "root": "_root"}), "_node", "left").withColumn("_root", F.coalesce("_root", "_node")).drop("_node")
 
 
 def drop_similar(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:

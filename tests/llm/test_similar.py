@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from sievelight.llm import similar
+from sievelight.llm import near_dedup, similar
 from tests.llm.fixtures import documents, frame, prose
 
 
@@ -88,3 +88,33 @@ def test_parities_never_exceed_the_difference():
         a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64, int(rng.integers(0, 200)), np.uint64)])) for _ in range(2))
         bits = np.bitwise_count((similar.parities(a) ^ similar.parities(b)).view(np.uint64)).sum()
         assert bits <= len(np.setxor1d(a, b))
+
+
+def test_fingerprints_propose_before_bands(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = []
+    for k in range(12):
+        base = prose(rng, rng.choice([40, 200, 600]))
+        rows += [(10 * k + i, t, "en", "s", 0) for i, t in enumerate([base, base + " end", edited(rng, base, 0.01), edited(rng, base, 0.2)])]
+    rows += [(200 + i, " ".join(f"{w}{i}" for w in "a b c d e f g h".split()), "en", "s", 0) for i in range(5)] + [(300, None, "en", "s", 0), (301, " ", "en", "s", 0)]
+    prints = {r[0]: near_dedup.fingerprint(r[1]) for r in rows}
+    root = {i: i for i in prints}
+    for i in prints:  # links that brute force finds within 3 bits, verified
+        for j in prints:
+            a, b = (shingles(rows[[r[0] for r in rows].index(x)][1]) for x in (i, j))
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= 3 and 5 * len(a & b) >= 4 * len(a | b):
+                old, new = root[j], root[i]
+                root = {x: new if r == old else r for x, r in root.items()}
+    monkeypatch.setattr(similar, "_crowded", lambda bands: bands.where("false"))
+    found = {r["doc_id"]: r["_root"] for r in similar.similar_rows(frame(spark, rows)).collect()}
+    assert len({(root[i], found[i]) for i in found}) == len(set(root.values())) == len(set(found.values())) < len(rows) - 8
+
+
+def test_a_fingerprint_alone_is_no_copy(spark):
+    words = "a b c d e f".split()
+    rows = [(i, " ".join(words[i:] + words[:i]) + " x" * 40, "en", "s", 0) for i in range(2)]
+    turned = "p q r s t u v w " * 20
+    rows += [(5, turned, "en", "s", 0), (6, turned * 2, "en", "s", 0)]
+    expected = groups(rows)
+    found = [r["_root"] for r in similar.similar_rows(frame(spark, rows)).orderBy("doc_id").collect()]
+    assert len(set(zip(expected, found))) == len(set(expected)) == len(set(found))
