@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of plans that are made and run inside go at their end, not when the driver happens to collect its garbage.
+
+    For loops and chains of many small steps, whose files would add up.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``checkpoint`` with the plan's shuffle files ``released``."""
+    with released(df.sparkSession):
+        return checkpoint(df.select("*"))  # a plan of its own, made inside
+
+
 def words(text: Column) -> Column:
     """Array of the words of ``text``; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

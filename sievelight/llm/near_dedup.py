@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.shipping import ship
-from sievelight.llm.common import checkpoint
+from sievelight.llm.common import checkpoint, released, settled
 
 RADIUS = 3
 SEGMENTS, SEGMENT_BITS = 2, 32  # of two segments one differs in one bit at most, if three bits differ in all
@@ -132,31 +132,32 @@ def components(links: DataFrame, *, max_rounds: int = 40) -> DataFrame:
 
     Each round links every node's greater neighbours, then its lesser ones, to the least neighbour.  Only minima are
     aggregated, in parts; the links of a node with very many neighbours meet its minimum in a join, which splits them as
-    a skewed key.  Rounds end when the links stay the same; a graph that needs over ``max_rounds`` rounds, which grow with
-    the logarithm of the nodes, is an error.
+    a skewed key.  Rounds end when the links are stars, which another round would leave as they are; a graph that needs
+    over ``max_rounds`` rounds, which grow with the logarithm of the nodes, is an error.
     """
 
-    def star(e: DataFrame, small: bool) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        joined = both.join(least, "u")
-        joined = joined.where(F.col("v") <= F.col("u")) if small else joined.where(F.col("v") > F.col("u"))
-        moved = joined.select(F.col("m").alias("a"), F.col("v").alias("b"))
-        if small:
-            moved = moved.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        return moved.where("a <> b").distinct()
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    e = links
-    seen = state(e)
+    def large_star(e: DataFrame) -> DataFrame:
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x"))
+        least = ends.groupBy(F.col("x.u").alias("a")).agg(F.least(F.min("x.v"), F.first("x.u")).alias("m"))
+        return e.join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+
+    def small_star(e: DataFrame) -> DataFrame:
+        moved = e.join(e.groupBy("b").agg(F.min("a").alias("m")), "b")
+        moved = moved.select("m", F.explode(F.array("a", "b")).alias("b"))
+        return moved.where("m <> b").select(F.col("m").alias("a"), "b").distinct()
+
+    def stars(e: DataFrame) -> bool:
+        """Whether each node is either a root or the leaf of one."""
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.lit(0).alias("leaf")), F.struct(F.col("b").alias("u"), F.lit(1).alias("leaf")))).alias("x"))
+        leaves = ends.groupBy("x.u").agg(F.sum("x.leaf").alias("leaves"), F.min("x.leaf").alias("least"))
+        with released(e.sparkSession):
+            return leaves.where("leaves > 1 or leaves > least").agg(F.count(F.lit(1))).first()[0] == 0
+
+    e = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     for _ in range(max_rounds):
-        e = checkpoint(star(checkpoint(star(e, small=False)), small=True))
-        now = state(e)
-        if now == seen:
+        e = settled(small_star(settled(large_star(e))))
+        if stars(e):
             return e.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        seen = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -174,7 +175,7 @@ def fingerprint_links(kinds: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     spread = kinds.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("j"))
     keyed = spread.select(_keys(F.col("fp")).alias("key"), "fp")
     keyed = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return checkpoint(keyed.mapInArrow(_links(radius), "a long, b long").distinct())
+    return settled(keyed.mapInArrow(_links(radius), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = RADIUS) -> DataFrame:

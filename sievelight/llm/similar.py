@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.functions.shipping import ship
-from sievelight.llm.common import checkpoint
+from sievelight.llm.common import settled
 from sievelight.llm.near_dedup import components, fingerprint, fingerprint_links
 
 #: A pair of similarity s shares no band with probability (1 - s**ROWS)**BANDS: 1.3e-7 at 0.8, 1e-10 at 0.85.
@@ -123,13 +123,13 @@ def _proposed(rows: DataFrame) -> DataFrame:
     The least node of a fingerprint stands for it: the others are held against that one.
     """
     prints = rows.where("_n > 0").select(F.col("_fp").alias("fp"), F.col("_node").alias("node"))
-    least = checkpoint(prints.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")))
+    least = settled(prints.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")))
     equal = prints.join(least.where("least < most"), "fp").select(*_pair("node", "least"))
     least = least.drop("most")
     near = fingerprint_links(least)
     for end in "ab":
         near = near.join(least.withColumnsRenamed({"fp": end, "least": f"of_{end}"}), end)
-    return checkpoint(equal.unionByName(near.select(*_pair("of_a", "of_b"))).where("a < b").distinct())
+    return settled(equal.unionByName(near.select(*_pair("of_a", "of_b"))).where("a < b").distinct())
 
 
 def similar_rows(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0.8) -> DataFrame:
@@ -152,19 +152,19 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0
     ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     described = _rows(docs).select("doc_id", "_row", "text").mapInArrow(_described(shingle), f"doc_id {id_type}, _row long, _node long, _n int, _keys array<long>, _fp long")
-    rows = checkpoint(described)
+    rows = settled(described)
     proposed = _proposed(rows)
     kinds = rows.groupBy("_node").agg(F.first("_n").alias("n"), F.first("_keys").alias("keys"))
     bands = kinds.select(F.explode("keys").alias("key"), F.col("_node").alias("node"), "n")
-    bands = checkpoint(_crowded(bands))
+    bands = settled(_crowded(bands))
     candidates = bands.select("node").unionByName(proposed.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     wanted = rows.join(candidates.withColumnRenamed("node", "_node"), "_node", "left_semi").groupBy("_node").agg(F.min("_row").alias("_row"))
     texts = _rows(docs).select("_row", "text").join(wanted, "_row").dropDuplicates(["_row"])
-    sets = checkpoint(texts.mapInArrow(_sets(shingle), "node long, s array<long>, q array<long>"))
+    sets = settled(texts.mapInArrow(_sets(shingle), "node long, s array<long>, q array<long>"))
     own = sets.select("node", F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.first("node").alias("node"))
     own = own.where("c = 1").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("u"))
     bands = bands.join(own, "node", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(F.col("n") - F.col("u") >= min_similarity * F.col("n") - 1e-9)
-    bands = checkpoint(_crowded(bands))
+    bands = settled(_crowded(bands))
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -177,7 +177,7 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0
     # What two sets share is in neither's own shingles, so this holds for all pairs that reach the similarity.
     possible = F.least(F.col("n") - F.col("u"), F.col("m") - F.col("v")) >= min_similarity / (1 + min_similarity) * (F.col("n") + F.col("m")) - 1e-9
 
-    links = tested = docs.sparkSession.createDataFrame([], "a long, b long")
+    tested = docs.sparkSession.createDataFrame([], "a long, b long")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     for k in range(STAR_ROUNDS + 1):
         now = named(bands, roots)
@@ -187,7 +187,7 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0
             leaders = mixed.select("key", *[F.col(f"l.{x}").alias(y) for x, y in (("node", "other"), ("root", "to"), ("n", "m"), ("u", "v"))])
             pairs = now.join(leaders, "key").where((F.col("root") != F.col("to")) & possible)
         else:
-            left = checkpoint(now.join(mixed.select("key"), "key", "left_semi"))
+            left = settled(now.join(mixed.select("key"), "key", "left_semi"))
             left = left.join(left.groupBy("node").agg(F.collect_set("key").alias("keys")), "node").join(sets.select("node", "q"), "node")
             right = left.select("key", *[F.col(x).alias(y) for x, y in (("node", "other"), ("root", "to"), ("n", "m"), ("u", "v"), ("keys", "others"), ("q", "r"))])
             once = F.array_min(F.array_intersect("keys", "others")) == F.col("key")  # of several shared bands one proposes
@@ -196,11 +196,10 @@ def similar_rows(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0
             pairs = left.join(right, "key").where((F.col("root") < F.col("to")) & possible & close & once)
         pairs = pairs.select(*_pair("node", "other"))
         pairs = pairs.unionByName(proposed) if k == 0 else pairs
-        pairs = checkpoint(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        pairs = settled(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
-        links = checkpoint(links.unionByName(verified(pairs)))
-        roots = components(links)
-        roots = checkpoint(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+        links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(verified(pairs))  # stars stand for all links before
+        roots = components(settled(links))
     return rows.drop("_n", "_keys", "_fp").join(roots.withColumnsRenamed({"node": "_node", "root": "_root"}), "_node", "left").withColumn("_root", F.coalesce("_root", "_node")).drop("_node")
 
 
@@ -212,4 +211,4 @@ def drop_similar(docs: DataFrame, *, shingle: int = 5, min_similarity: float = 0
     """
     found = similar_rows(docs, shingle=shingle, min_similarity=min_similarity)
     least = found.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("l"))
-    return _rows(docs).join(checkpoint(least.select("l._row")), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    return _rows(docs).join(settled(least.select("l._row")), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

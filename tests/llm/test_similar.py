@@ -1,4 +1,5 @@
 import random
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -118,3 +119,28 @@ def test_a_fingerprint_alone_is_no_copy(spark):
     expected = groups(rows)
     found = [r["_root"] for r in similar.similar_rows(frame(spark, rows)).orderBy("doc_id").collect()]
     assert len(set(zip(expected, found))) == len(set(expected)) == len(set(found))
+
+
+def test_no_step_leaves_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    rng = random.Random(8)
+    base = prose(rng, 100)
+    docs = frame(spark, [(k, edited(rng, base, 0.02), "en", "s", 0) for k in range(20)])
+    old, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before = spark.conf.get(key, None)
+    similar.similar_rows(docs)
+    assert spark.conf.get(key, None) == set_before
+    end = time.time() + 20
+    while files() - old and time.time() < end:  # they go in the background
+        time.sleep(0.2)
+    assert not files() - old
+
+
+def test_components_of_a_path_and_loops_and_of_their_own_stars(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1003), (1005, 1004), (1004, 1005)]
+    roots = near_dedup.components(spark.createDataFrame(edges, "a long, b long").repartition(4))
+    assert sorted(map(tuple, roots.collect())) == sorted([*((i, 0) for i in range(1, 301)), (1001, 1000), (1002, 1000), (1005, 1004)])
+    again = near_dedup.components(roots.selectExpr("root a", "node b"))  # similar_rows goes on from stars
+    assert sorted(again.collect()) == sorted(roots.collect())
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
